@@ -23,6 +23,8 @@ PREFIXES = (3, 4, 5, 6, 8)
 PRIOR, DRIFT, LEAST_DF = 4.0, 0.5, 3
 #: Segments with at most so many like them expected in a clean text of the same length are reported.
 SIGNIFICANT = 0.05
+BINS = np.linspace(-10, 10, 81)
+MIDDLES = (BINS[:-1] + BINS[1:]) / 2
 _EDGES = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
 
@@ -51,6 +53,18 @@ class WordScores(dict):
         return score
 
 
+def word_scores(words: list[bytes], known: WordScores) -> np.ndarray:
+    """Scores of a text's words; a repeated word adds no evidence of its own."""
+    scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+    up = np.flatnonzero(scores > 0)
+    seen: set[bytes] = set()
+    for i in up:
+        if words[i] in seen:
+            scores[i] = 0.0
+        seen.add(words[i])
+    return scores
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a sequence, end exclusive, in linear time.
 
@@ -87,9 +101,13 @@ class ToxicModel:
         kept = [x for x in found if x[2] >= -np.log2(SIGNIFICANT)]
         return kept, max([0.0, *(x[2] for x in found)]), sum(x[2] for x in kept)
 
+    @staticmethod
+    def features(best: float, total: float) -> tuple[float, float]:
+        return min(best, 20.0), float(np.log1p(max(total, 0.0)))
+
     def probability(self, best: float, total: float) -> float:
-        a, b, c = self.weights
-        return float(1 / (1 + np.exp(-np.clip(a + b * min(best, 60.0) + c * np.log1p(max(total, 0.0)), -30, 30))))
+        a, (b, c) = self.weights[0], self.features(best, total)
+        return float(1 / (1 + np.exp(-np.clip(a + self.weights[1] * b + self.weights[2] * c, -30, 30))))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +121,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_odds(counts: pd.DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Unit to log-odds less drift. A unit's share of toxic documents has a Dirichlet prior around its prefix's share."""
+    """Unit to log-odds, less one standard error and the drift.
+
+    A unit's share of toxic documents has a Dirichlet prior around its prefix's share.
+    """
     base = (toxic + 1) / (toxic + clean + 2)
     t, c = dict(zip(counts["unit"], counts["toxic"], strict=True)), dict(zip(counts["unit"], counts["clean"], strict=True))
     share: dict[str, float] = {}
@@ -114,19 +135,22 @@ def log_odds(counts: pd.DataFrame, toxic: int, clean: int) -> dict[str, float]:
 
     for u in sorted(t, key=lambda u: (len(u), not u.endswith("*"))):
         share[u] = (t[u] + PRIOR * parent(u)) / (t[u] + c[u] + PRIOR)
-    return {u: float(np.log(p / (1 - p)) - np.log(base / (1 - base)) - DRIFT) for u, p in share.items()}
+    odds = lambda p: np.log(max(p, 1e-4) / max(1 - p, 1e-4))
+    error = lambda u: (1 / (t[u] + 1) + 1 / (c[u] + 1)) ** 0.5
+    return {u: float(odds(p) - odds(base) - error(u) - DRIFT) for u, p in share.items()}
 
 
-def _karlin(scores: np.ndarray) -> float:
-    """The positive root of mean(exp(lam * score)) = 1."""
-    if not (scores > 0).any() or scores.mean() >= 0:
+def karlin(counts: np.ndarray) -> float:
+    """The positive root of mean(exp(lam * score)) = 1 over a histogram of scores in BINS; 1 if there is none."""
+    share = counts / max(counts.sum(), 1)
+    if not share[MIDDLES > 0].sum() or share @ MIDDLES >= 0:
         return 1.0
-    low, high = 1e-6, 1.0
-    while np.exp(high * scores).mean() < 1:
+    low, high = 0.0, 1.0
+    while share @ np.exp(high * MIDDLES) < 1 and high < 64:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if np.exp(mid * scores).mean() < 1 else (low, mid)
+        low, high = (mid, high) if share @ np.exp(mid * MIDDLES) < 1 else (low, mid)
     return high
 
 
@@ -146,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         parts.append((counts.where(F.col("toxic") + F.col("clean") >= LEAST_DF).toPandas(), sizes.get(1, 0), sizes.get(0, 0)))
     table = log_odds(*parts[0])
     sample = rows.where("half = 1").select("text", "label")
-    fitted = sample.mapInArrow(partial(_raw, table=table), "label int, n long, best double, gaps array<double>").toPandas()
+    fitted = sample.mapInArrow(partial(_raw, table=table), "label int, n long, best double, found array<double>, counts array<bigint>").toPandas()
     model = _calibrate(table, fitted)
     whole = pd.concat([p[0] for p in parts]).groupby("unit", as_index=False).sum() if len(parts[0][0]) + len(parts[1][0]) else parts[0][0]
     # The calibrated scale holds for the table of both halves, whose words are known no worse.
@@ -166,32 +190,29 @@ def _needed(table: dict[str, float]) -> dict[str, float]:
 
 
 def _raw(batches: Iterator[pa.RecordBatch], table: dict[str, float]) -> Iterator[pa.RecordBatch]:
-    """Per document: label, words, score of the best segment, all segments' scores."""
+    """Per document: label, words, score of the best segment, all segments' scores, a histogram of the words' scores."""
     known = WordScores(table)
     for batch in batches:
-        out: dict[str, list] = {"label": [], "n": [], "best": [], "gaps": []}
-        for text, label in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            words = text.lower().split()
-            found = [s for _, _, s in segments(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))]
-            out["label"].append(label)
-            out["n"].append(len(words))
-            out["best"].append(max([0.0, *found]))
-            out["gaps"].append(found)
-        yield pa.RecordBatch.from_pydict({"label": pa.array(out["label"], pa.int32()), "n": pa.array(out["n"], pa.int64()), "best": pa.array(out["best"], pa.float64()), "gaps": pa.array(out["gaps"], pa.list_(pa.float64()))})
+        n, found, counts = [], [], []
+        for text in as_bytes(batch.column(0)):
+            scores = word_scores(text.lower().split(), known)
+            n.append(len(scores))
+            found.append([x for _, _, x in segments(scores)])
+            counts.append(np.histogram(np.clip(scores, BINS[0], BINS[-1]), BINS)[0])
+        yield pa.RecordBatch.from_pydict({"label": batch.column(1), "n": pa.array(n, pa.int64()), "best": pa.array([max([0.0, *f]) for f in found], pa.float64()), "found": pa.array(found, pa.list_(pa.float64())), "counts": pa.array(counts, pa.list_(pa.int64()))})
 
 
 def _calibrate(table: dict[str, float], fitted: pd.DataFrame) -> ToxicModel:
-    """Extreme-value parameters from the clean documents' best segments, then a logistic curve over both kinds."""
+    """Extreme-value parameters from the clean documents, then a logistic curve over both kinds."""
     clean = fitted[(fitted["label"] == 0) & (fitted["n"] > 0)]
-    best, n = clean["best"].to_numpy(float), clean["n"].to_numpy(float)
-    # Best segments of clean texts follow a Gumbel law: K by likelihood for each scale, the scale by moments.
-    lam = float(np.pi / (np.sqrt(6) * max(best.std(), 0.25))) if len(best) > 10 else 1.0
-    k = float(len(n) / max((n * np.exp(-lam * best)).sum(), 1e-9)) if len(n) else 1e-3
+    lam = karlin(np.sum(clean["counts"].tolist(), axis=0)) if len(clean) else 1.0
+    # Half of the clean documents' best segments should have scores below the law's median.
+    k = float(np.log(2) / max(np.median(clean["n"] * np.exp(-lam * clean["best"])), 1e-9)) if len(clean) else 1e-3
     model = ToxicModel(table, lam, k, (-4.0, 0.0, 0.0))
     if fitted["label"].nunique() < 2:
         return model
-    bits = [[(lam * s - np.log(max(k * max(m, 1), 1e-300))) / np.log(2) for s in ss] for ss, m in zip(fitted["gaps"], fitted["n"], strict=True)]
-    x = np.array([[1.0, min(max([0.0, *b]), 60.0), np.log1p(sum(v for v in b if v >= -np.log2(SIGNIFICANT)))] for b in bits])
+    bits = [[(lam * s - np.log(k * max(m, 1))) / np.log(2) for s in ss] for ss, m in zip(fitted["found"], fitted["n"], strict=True)]
+    x = np.array([[1.0, *model.features(max([0.0, *b]), sum(v for v in b if v >= -np.log2(SIGNIFICANT)))] for b in bits])
     y, w = fitted["label"].to_numpy(float), np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -206,8 +227,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel, passages: bool)
     for batch in batches:
         ids, out, spans = batch.column(0), [], []
         for text in as_bytes(batch.column(1)):
-            words = text.lower().split()
-            kept, best, total = model.evidence(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
+            kept, best, total = model.evidence(word_scores(text.lower().split(), known))
             out.append(model.probability(best, total))
             spans.append([{"start": a, "end": b, "bits": float(x)} for a, b, x in kept])
         columns = {"id": ids, "score": pa.array(out, pa.float64())}
