@@ -85,6 +85,15 @@ def _mixing() -> str:
 
 SQL = {
     "op1_secret_scans": _secrets(),
+    "op3_exact_topk": """
+    with v as (
+        select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+        where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (
+        select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])) as bigint) as score
+        from v q join v d on q.vec_id % 100 = 0 and q.vec_id <> d.vec_id and len(q.e) = len(d.e))
+    select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored)
+    where rank <= 10""",
     "op4_mixing": _mixing(),
     "op10_exact_dedup": f"""
     select doc_id, max(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size,
