@@ -29,7 +29,7 @@ def per_signal(df: DataFrame, fcn: Callable[[np.ndarray], dict], columns: str, k
         except (ValueError, TypeError, IndexError):
             out = {c: np.zeros(0) for c in names}
         n = len(out[names[0]])
-        return pd.DataFrame({c: [rows[c].iloc[0]] * n for c in keys} | out)
+        return pd.DataFrame({c: np.repeat(rows[c].to_numpy()[:1], n) for c in keys} | out)
 
     return df.select(*keys, "i", "x").groupBy(*keys).applyInPandas(run, f"{kinds}, {columns}")
 

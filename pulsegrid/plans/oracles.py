@@ -121,8 +121,8 @@ SCORES = f"""{SIG}, e as (select signal_id, count(*) as n from sig group by sign
 SQL = {
     "heart_rate_stats": f"with {PEAKS}, {rates(5.0)} select signal_id, count(*) as n, {r('avg(hr)')} as mean_hr, {r('min(hr)')} as min_hr, {r('max(hr)')} as max_hr from rate group by signal_id",
     "signal_stats": f"""with {SIG}, c as (select *, avg(x) over w as m, median(x) over w as md from sig window w as (partition by signal_id))
-        select signal_id, {r('avg(x)', 5)} as mean, {r('median(x)', 5)} as median, {r('min(x)', 5)} as min, {r('max(x)', 5)} as max, {r('max(abs(x - m))', 5)} as max_amp, {r('var_samp(x)', 5)} as var,
-        {r('stddev_samp(x)', 5)} as std_dev, {r('avg(abs(x - md))', 5)} as abs_dev, {r('kurtosis(x)', 5)} as kurtosis, {r('skewness(x)', 5)} as skewness from c group by signal_id""",
+        select signal_id, {r('avg(x)', 8)} as mean, {r('median(x)', 8)} as median, {r('min(x)', 8)} as min, {r('max(x)', 8)} as max, {r('max(abs(x - m))', 8)} as max_amp, {r('var_samp(x)', 8)} as var,
+        {r('stddev_samp(x)', 8)} as std_dev, {r('avg(abs(x - md))', 8)} as abs_dev, {r('kurtosis(x)', 8)} as kurtosis, {r('skewness(x)', 8)} as skewness from c group by signal_id""",
     "normalize": f"with {SIG} select signal_id, i, {r('(x - avg(x) over w) / stddev_samp(x) over w')} as x from sig window w as (partition by signal_id)",
     "smoother_boxcar": f"with {smooth5()} select signal_id, i, {r('x')} as x from flat",
     "smoother_hamming": f"""with {NUM} select a.signal_id, a.i, {r('0.08 * coalesce(b2.x, head) + 0.54 * coalesce(b1.x, head) + a.x + 0.54 * coalesce(f1.x, tail) + 0.08 * coalesce(f2.x, tail)')} as x
@@ -166,7 +166,7 @@ SQL = {
         k as (select * from c where i <= (select min(m) from (select max(i) as m from c group by channel))) select cast(0 as bigint) as signal_id, channel, i, {r('x - avg(x) over (partition by i)')} as x from k""",
     "acc_time_features": f"select l_orderkey, {r('sum(sqrt(l_quantity * l_quantity + l_extendedprice * l_extendedprice + l_discount * l_discount))', 4)} as vm, {r('max((abs(l_quantity) + abs(l_extendedprice) + abs(l_discount)) / 3)', 4)} as sm from lineitem group by l_orderkey",
     "norm_freq": f"with {SIG} select signal_id, i, {r('2 * x / 100')} as w from sig",
-    "time_axis": f"with {SIG} select signal_id, i, {r('i / 100.0 * (count(*) over w - 1) / count(*) over w')} as ts from sig window w as (partition by signal_id)",
+    "time_axis": f"with {SIG} select signal_id, i, {r('i / 100.0 * (count(*) over w - 1) / count(*) over w', 9)} as ts from sig window w as (partition by signal_id)",
     "correct_rpeaks": f"""with {PEAKS}, n as (select signal_id, max(i) + 1 as n from sig group by signal_id), j as (select p.signal_id, p.i as r, s.i, s.x from peak p join n using (signal_id) join sig s on s.signal_id = p.signal_id and s.i between p.i - 3 and p.i + 2 where p.i - 3 >= 0 and p.i + 3 <= n)
         select distinct signal_id, i from (select *, row_number() over (partition by signal_id, r order by x desc, i) as place from j) where place = 1""",
     "extract_heartbeats": f"""with {PEAKS}, n as (select signal_id, max(i) + 1 as n from sig group by signal_id)

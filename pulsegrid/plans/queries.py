@@ -82,7 +82,7 @@ def _curves(spark: SparkSession, sf_dir: str, k: float) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "heart_rate_stats": heart_rate_stats,
     # Primitives.
-    "signal_stats": lambda k, d: rounded(s.signal_stats(v.sig_user(k, d)), 5),
+    "signal_stats": lambda k, d: rounded(s.signal_stats(v.sig_user(k, d)), 8),
     "normalize": lambda k, d: rounded(s.normalize(v.sig_user(k, d))),
     "smoother_boxcar": lambda k, d: rounded(s.smoother_boxcar(v.sig_user(k, d), 5)),
     "smoother_hamming": lambda k, d: rounded(s.convolve_same(v.sig_user(k, d), [0.08, 0.54, 1.0, 0.54, 0.08], mirror=True)),
@@ -113,7 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "car_reference": lambda k, d: rounded(s.car_reference(v.sig_channel(k, d))),
     "acc_time_features": lambda k, d: rounded(s.acc_time_features(v.acc3(k, d)).groupBy("l_orderkey").agg(F.sum("vm").alias("vm"), F.max("sm").alias("sm")), 4),
     "norm_freq": lambda k, d: rounded(v.sig_user(k, d).select(KEY, "i", s.norm_freq(F.col("x"), FS).alias("w"))),
-    "time_axis": lambda k, d: rounded(s.add_time(v.sig_user(k, d), FS, endpoint=False).select(KEY, "i", "ts")),
+    "time_axis": lambda k, d: rounded(s.add_time(v.sig_user(k, d), FS, endpoint=False).select(KEY, "i", "ts"), 9),
     # Beats and onsets.
     "correct_rpeaks": lambda k, d: b.correct_rpeaks(v.sig_user(k, d), v.peaks(k, d), FS, 0.03),
     "extract_heartbeats": lambda k, d: b.extract_heartbeats(v.sig_user(k, d), v.peaks(k, d), FS, 0.02, 0.04).select(KEY, "r", F.posexplode("beat").alias("p", "x")),
@@ -174,6 +174,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "phase_locking": lambda k, d: rounded(s.phase_locking(_phase_pairs(k, d))),
     "emg_find_onsets": lambda k, d: p.emg_onsets(v.sig_user(k, d), 100.0),
     "kbk_scr": lambda k, d: rounded(p.kbk_scr(v.sig_user(k, d), 5.0)),
+    "average_rate": lambda k, d: rounded(p.average_rate(v.sig_user(k, d), 20.0)),
+    "ppg_mean_pulse": lambda k, d: rounded(p.ppg_mean_pulse(synthetic.ecg_table(k, 2, 10))),
     "homomorphic_filter": lambda k, d: rounded(p.homomorphic_filter(v.sig_type(k, d), 100.0)),
     "paired_test": lambda k, d: rounded(p.pvalues(s.paired_test(v.xy(k, d)))),
 }
