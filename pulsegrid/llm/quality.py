@@ -19,7 +19,7 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 MAX_TRAINING = 8_000
 #: Words to a passage.
 PASSAGE = 64
-HIDDEN, GATE, HASHED, EPOCHS, BATCH, RATE, SEED = 24, 12, 32, 14, 64, 4e-3, 11
+HIDDEN, GATE, HASHED, STEPS, BATCH, RATE, SEED = 24, 12, 32, 1_750, 64, 4e-3, 11
 #: What is counted of each word: a 1, its length, squared, and how many bytes are of some class.
 PER_WORD = 14
 FEATURES = PER_WORD + 6 + HASHED
@@ -117,10 +117,12 @@ class GatedAttention:
 
     def fit(self, x: np.ndarray, count: np.ndarray, y: np.ndarray, seed: int = SEED) -> None:
         r, first = np.random.default_rng(seed), np.cumsum(count) - count
+        batches = max(1, len(y) // BATCH)
+        epochs = -(-STEPS // batches)
         m, s, t = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
-            for some in np.array_split(r.permutation(len(y)), max(1, len(y) // BATCH)):
+        for epoch in range(epochs):
+            rate = RATE * (1 - epoch / epochs)
+            for some in np.array_split(r.permutation(len(y)), batches):
                 rows = np.concatenate([np.arange(first[i], first[i] + count[i]) for i in some])
                 t += 1
                 for k, g in self.gradients(x[rows], count[some], y[some]).items():
