@@ -24,7 +24,7 @@ HEAD = 262_144
 WORDS, CLASSES = 4_096, 64
 #: The network learns from ROUNDS of each SHARES parts of the training documents, so what it sees grows with the corpus.
 SHARES, ROUNDS = 16, 2
-STREAMS, BLOCK = 32, 65_536
+STREAMS, BLOCK = 64, 65_536
 #: The end of a text: no word holds a space.
 END = b" "
 
