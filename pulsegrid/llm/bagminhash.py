@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_limit, join_groups, with_row_id
-from .components import components
+from .common import FEW_ROWS, compact, cut, hot_limit, join_groups, with_row_id
+from .components import small_or_large
 from .words import WordHashes, as_bytes, bags, hash_words, mix, portions, shingles, split_words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -21,7 +21,7 @@ PLACES, BANDS, BAND = 128, 24, 4
 #: Pairs whose signatures agree in fewer places than this, 4.5 deviations below 0.8, aren't compared.
 LEAST_AGREE = int(PLACES * (SIMILAR - 4.5 * (SIMILAR * (1 - SIMILAR) / PLACES) ** 0.5))
 #: Rounds of links to bucket centres; after them every open pair is compared.
-ROUNDS = 3
+ROUNDS = 2
 BLOCK = 512
 #: So many row numbers at most are broadcast, 8 bytes each.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -98,14 +98,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "row": rows.take(pa.array(chosen)),
                     "id": ids.take(pa.array(chosen)),
                     "words": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
-                    "signature": pa.array([signed[at[i]].tobytes() if i in at else b"" for i in range(len(n))], pa.binary()),
+                    "signature": pa.array([signed[at[i]].astype(np.uint16).tobytes() if i in at else b"" for i in range(len(n))], pa.binary()),
                     "bands": pa.array([keys[at[i]] if i in at else np.zeros(0, np.int64) for i in range(len(n))], pa.list_(pa.int64())),
                 }
             )
 
 
 def _bag_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, bag): the sorted shingle hashes of a text, a repeated one made distinct by its turn."""
+    """(row, bag): the sorted 32-bit shingle hashes of a text, a repeated one made distinct by its turn.
+
+    Chance makes two texts of a thousand shingles share one more in a case of four thousand.
+    """
     hashes = WordHashes()
     for batch in batches:
         rows, texts = batch.column(0), as_bytes(batch.column(1))
@@ -115,7 +118,7 @@ def _bag_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turn = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
             each = np.where(turn > 0, mix(np.repeat(s, weight) + turn.astype(np.uint64) * _GOLD), np.repeat(s, weight))
             cuts = np.searchsorted(np.repeat(text, weight), np.arange(len(n) + 1))
-            yield pa.RecordBatch.from_pydict({"row": rows.take(pa.array(part)), "bag": pa.array([np.sort(each[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"row": rows.take(pa.array(part)), "bag": pa.array([np.sort((each[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -132,71 +135,91 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-        good = [i for i in range(len(a)) if similarity(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)) >= least]
+        good = [i for i in range(len(a)) if similarity(np.frombuffer(x[i], np.uint32), np.frombuffer(y[i], np.uint32)) >= least]
         yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in good], pa.int64()), "b": pa.array([b[i] for i in good], pa.int64())})
 
 
+def _beside(few: DataFrame, many: DataFrame, key: str, rows: int) -> DataFrame:
+    """few joined with the rows of many that it names; few is broadcast if it has not many rows, so that many isn't shuffled."""
+    named = few.withColumnRenamed(key, "__named")
+    return many.join(F.broadcast(named) if rows <= MAX_BROADCAST_ROWS else named, many["row"] == F.col("__named")).withColumnRenamed("__named", key)
+
+
 def _verified(pairs: DataFrame, bag_rows: DataFrame, least: float, limit: int) -> DataFrame:
     """The pairs (a, b) that are similar; a centre that many pairs name is joined without a hot task."""
     pairs = cut(pairs)
+    rows = pairs.count()
     named = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("__n"))
-    of_b = named.join(bag_rows, named["b"] == bag_rows["row"]).select("b", "__n", F.col("bag").alias("y"))
-    with_a = pairs.join(bag_rows, pairs["a"] == bag_rows["row"]).select("a", "b", F.col("bag").alias("x"))
+    of_b = _beside(named, bag_rows, "b", rows).select("b", "__n", F.col("bag").alias("y"))
+    with_a = _beside(pairs, bag_rows, "a", rows).select("a", "b", F.col("bag").alias("x"))
     return cut(join_groups(with_a, of_b, "b", "__n", limit).select("a", "b", "x", "y").mapInArrow(partial(_verify, least=least), "a long, b long"))
 
 
-def _pairs_of(row: np.ndarray, root: np.ndarray, side: np.ndarray, band: int, signature: np.ndarray) -> tuple[list[int], list[int]]:
-    """Pairs of different roots whose signatures agree enough, in the first band that they share.
+def _near(root: np.ndarray, side: np.ndarray, row: np.ndarray, band: int, signature: np.ndarray, bands: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): pairs of different roots whose signatures agree enough, in the first band that they share.
 
     Rows of side 0 meet those of side 1; rows of side 2 meet each other.
     """
-    a, b = [], []
     for i in np.flatnonzero(side != 1):
         other = np.flatnonzero((root != root[i]) & ((side == 1) if side[i] == 0 else (row > row[i])))
-        equal = signature[other] == signature[i]
-        near = equal.sum(axis=1) >= LEAST_AGREE
-        if near.any():
-            shared = equal[near][:, : BANDS * BAND].reshape(-1, BANDS, BAND).all(axis=2)
-            found = row[other[near][shared.argmax(axis=1) == band]]
-            a += [int(row[i])] * len(found)
-            b += found.tolist()
-    return a, b
+        other = other[(signature[other] == signature[i]).sum(axis=1) >= LEAST_AGREE]
+        if len(other):
+            other = other[(bands[other] == bands[i]).argmax(axis=1) == band]
+        if len(other):
+            yield int(i), other
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (place, row, root, side, band, signature) sorted by place: _pairs_of each place's rows.
-
-    A place is a bucket's two blocks, so it has some 2 * BLOCK rows at most.
-    """
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups of rows of one place, in batches sorted by place; a place has some 2 * BLOCK rows at most."""
     held: list[pa.RecordBatch] = []
-
-    def ready(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
-        place = rows.column(0).to_numpy()
-        cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-        whole = cuts if last else cuts[:-1]
-        row, root, side, band = (rows.column(i).to_numpy() for i in range(1, 5))
-        signature = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint32).reshape(-1, PLACES)
-        a, b = [], []
-        for x, y in zip(whole, whole[1:], strict=False):
-            more = _pairs_of(row[x:y], root[x:y], side[x:y], int(band[x]), signature[x:y])
-            a += more[0]
-            b += more[1]
-        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}), rows.slice(int(whole[-1]))
-
     for batch in batches:
-        if batch.num_rows:
-            done, rest = ready(pa.Table.from_batches([*held, batch]), last=False)
-            held = rest.combine_chunks().to_batches()
-            yield done
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch])
+        place = rows.column(0).to_numpy()
+        cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        yield from (rows.slice(int(x), int(y - x)) for x, y in zip(cuts, cuts[1:], strict=False))
+        held = rows.slice(int(cuts[-1])).combine_chunks().to_batches()
     if held:
-        yield ready(pa.Table.from_batches(held), last=True)[0]
+        yield pa.Table.from_batches(held)
+
 
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+    row, root, side, band = (rows.column(i).to_numpy() for i in range(1, 5))
+    signature = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint16).reshape(-1, PLACES)
+    return root, side, row, int(band[0]), signature, np.array(rows.column(6).to_pylist(), np.int64)
 
-def _open_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of members (row, root, key, band, centre root, n, others) of unlike roots.
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (place, row, root, side, band, signature, bands) sorted by place: the first five of rows with a near pair."""
+    for rows in _places(batches):
+        found = [x for i, others in _near(*_arrays(rows)) for x in (i, *others.tolist())]
+        if found:
+            yield from rows.select(range(5)).take(pa.array(sorted(set(found)))).to_batches()
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Over the same rows with their bags: similar pairs (a, b), without those that others in the place already link."""
+    for rows in _places(batches):
+        arrays = _arrays(rows)
+        bags_ = [np.frombuffer(b, np.uint32) for b in rows.column(7).to_pylist()]
+        root, row, a, b = arrays[0].copy(), arrays[2], [], []
+        for i, others in _near(*arrays):
+            for j in others:
+                if root[i] != root[j] and similarity(bags_[i], bags_[j]) >= least:
+                    root[root == root[j]] = root[i]
+                    a.append(int(row[i]))
+                    b.append(int(row[j]))
+        if a:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _open_links(members: DataFrame, signed: DataFrame, bag_rows: DataFrame, least: float) -> DataFrame:
+    """Similar pairs (a, b) of members (row, root, key, band, n, main_root, others) of unlike roots.
 
     A bucket's rows outside its main root meet each other, and those of the main root, block by
-    block; rows of the main root don't meet. So the work is others x bucket, spread over blocks.
+    block; rows of the main root don't meet. So the work is others x bucket, spread over blocks. First
+    signatures are compared; only rows that have a near one come again, with their bags.
     """
     kb, km = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("others")) / BLOCK).cast("int")
     rows = members.withColumn("kb", kb).withColumn("km", km).withColumn("main", F.col("root") == F.col("main_root"))
@@ -206,9 +229,14 @@ def _open_pairs(members: DataFrame, signed: DataFrame) -> DataFrame:
         else concat(
             transform(sequence(0, kb - 1), j -> struct('o' as kind, least(j, own) as x, greatest(j, own) as y, case when j = own then 2 when own < j then 0 else 1 end as side)),
             transform(sequence(0, km - 1), j -> struct('m' as kind, own as x, j as y, 0 as side))) end""")
-    placed = rows.withColumn("p", F.explode(places)).select(F.xxhash64("key", "p.kind", "p.x", "p.y").alias("place"), "row", "root", "p.side", "band")
-    full = placed.join(signed.select("row", "signature"), "row").select("place", "row", "root", "side", "band", "signature")
-    return full.repartition("place").sortWithinPartitions("place").mapInArrow(_compare, "a long, b long")
+    placed = cut(rows.withColumn("p", F.explode(places)).select(F.xxhash64("key", "p.kind", "p.x", "p.y").alias("place"), F.col("row").alias("id"), "root", "p.side", "band"))
+    columns = ["place", F.col("id").alias("row"), "root", "side", "band", "signature", "bands"]
+    first = _beside(placed, signed.select("row", "signature", "bands"), "id", placed.count()).select(*columns)
+    near = cut(first.repartition("place").sortWithinPartitions("place").mapInArrow(_compare, "place long, row long, root long, side int, band int")).withColumnRenamed("row", "id")
+    n = near.count()
+    again = _beside(near, signed.select("row", "signature", "bands"), "id", n).select(*columns).withColumnRenamed("row", "id")
+    again = _beside(again, bag_rows, "id", n).select("place", F.col("id").alias("row"), "root", "side", "band", "signature", "bands", "bag")
+    return cut(again.repartition("place").sortWithinPartitions("place").mapInArrow(partial(_confirm, least=least), "a long, b long"))
 
 
 def similar_links(signed: DataFrame, bag_rows: DataFrame, members: DataFrame, least: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame | None:
@@ -218,30 +246,35 @@ def similar_links(signed: DataFrame, bag_rows: DataFrame, members: DataFrame, le
     already. What stays unlinked in a bucket after that is compared pair by pair.
     """
     links = roots = None
-    limit = hot_limit(members.count())
+    rows = members.count()
+    limit = hot_limit(rows)
     for r in range(rounds + 1):
+        members = compact(members, rows)
         rooted = members.withColumn("root", F.col("row")) if roots is None else members.join(roots, members["row"] == roots["id"], "left").withColumn("root", F.coalesce("root", "row")).drop("id")
-        rooted = cut(rooted)
+        rooted = compact(cut(rooted), rows) if roots is not None else rooted
         turn = F.col("row") if r == 0 else F.xxhash64("row", F.lit(r))
         buckets = rooted.groupBy("key").agg(
             F.min_by(F.struct("row", "root"), turn).alias("centre"), F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")
         ).where("lo <> hi")
         buckets = buckets.select("key", "n", F.col("centre.row").alias("centre"), F.col("centre.root").alias("main_root"))
-        open_ = cut(join_groups(rooted, buckets, "key", "n", limit).where("n is not null"))
+        # Within one partition no key can be too hot.
+        open_ = cut(rooted.join(buckets, "key") if rows <= FEW_ROWS else join_groups(rooted, buckets, "key", "n", limit).where("n is not null"))
+        rows = open_.count()
+        if not rows:
+            break
+        open_ = compact(open_, rows)
         members = open_.select("row", "band", "key")
         if r < rounds:
             pairs = open_.where("root <> main_root").select(F.col("row").alias("a"), F.col("centre").alias("b")).distinct()
+            found = _verified(pairs, bag_rows, least, limit)
         else:
-            others = open_.where("root <> main_root").groupBy("key").agg(F.count(F.lit(1)).alias("others"))
-            counted = join_groups(open_, buckets.select("key", F.col("n").alias("__n")).join(others, "key"), "key", "__n", limit)
-            pairs = _open_pairs(counted, signed)
-        found = _verified(pairs, bag_rows, least, limit)
+            others = open_.groupBy("key", F.col("n").alias("__n")).agg(F.count_if(F.col("root") != F.col("main_root")).alias("others"))
+            found = _open_links(open_.join(others.drop("__n"), "key") if rows <= FEW_ROWS else join_groups(open_, others, "key", "__n", limit), signed, bag_rows, least)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            roots = cut(components(links))
+            roots = cut(small_or_large(cut(links)))
+            roots = compact(roots, roots.count())
             links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b")
-        if members.isEmpty():
-            break
     return roots
 
 
@@ -262,8 +295,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(whole.mapInArrow(_sign, f"row long, id {kind}, words binary, signature binary, bands array<bigint>"))
     limit = hot_limit(signed.count())
     same = cut(signed.groupBy("words").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = signed.select("row", "bands").join(same.select("rep"), F.col("row") == F.col("rep"), "left_semi")
-    banded = cut(reps.select("row", F.posexplode("bands").alias("band", "key")))
+    reps = cut(signed.select("row", "bands").join(same.select("rep"), F.col("row") == F.col("rep"), "left_semi"))
+    banded = reps.select("row", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(join_groups(banded, shared, "key", "n", limit).where("n is not null").select("row", "band", "key"))
     needed = cut(members.select("row").distinct())
