@@ -22,7 +22,7 @@ PLACES, BANDS, BAND = 128, 24, 4
 LEAST_AGREE = int(PLACES * (SIMILAR - 4.5 * (SIMILAR * (1 - SIMILAR) / PLACES) ** 0.5))
 #: Rounds of links to bucket centres; after them every open pair is compared.
 ROUNDS = 2
-BLOCK = 512
+BLOCK = 2_048
 #: So many row numbers at most are broadcast, 8 bytes each.
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -191,11 +191,11 @@ def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (place, row, root, side, band, signature, bands) sorted by place: the first five of rows with a near pair."""
+    """Over rows (place, row, root, side, band, signature, bands) sorted by place: those with a near pair."""
     for rows in _places(batches):
         found = [x for i, others in _near(*_arrays(rows)) for x in (i, *others.tolist())]
         if found:
-            yield from rows.select(range(5)).take(pa.array(sorted(set(found)))).to_batches()
+            yield from rows.take(pa.array(sorted(set(found)))).to_batches()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -232,10 +232,9 @@ def _open_links(members: DataFrame, signed: DataFrame, bag_rows: DataFrame, leas
     placed = cut(rows.withColumn("p", F.explode(places)).select(F.xxhash64("key", "p.kind", "p.x", "p.y").alias("place"), F.col("row").alias("id"), "root", "p.side", "band"))
     columns = ["place", F.col("id").alias("row"), "root", "side", "band", "signature", "bands"]
     first = _beside(placed, signed.select("row", "signature", "bands"), "id", placed.count()).select(*columns)
-    near = cut(first.repartition("place").sortWithinPartitions("place").mapInArrow(_compare, "place long, row long, root long, side int, band int")).withColumnRenamed("row", "id")
-    n = near.count()
-    again = _beside(near, signed.select("row", "signature", "bands"), "id", n).select(*columns).withColumnRenamed("row", "id")
-    again = _beside(again, bag_rows, "id", n).select("place", F.col("id").alias("row"), "root", "side", "band", "signature", "bands", "bag")
+    kinds = "place long, row long, root long, side int, band int, signature binary, bands array<bigint>"
+    near = cut(first.repartition("place").sortWithinPartitions("place").mapInArrow(_compare, kinds)).withColumnRenamed("row", "id")
+    again = _beside(near, bag_rows, "id", near.count()).select("place", F.col("id").alias("row"), "root", "side", "band", "signature", "bands", "bag")
     return cut(again.repartition("place").sortWithinPartitions("place").mapInArrow(partial(_confirm, least=least), "a long, b long"))
 
 
