@@ -142,3 +142,11 @@ def pvalues(tests: DataFrame, statistic: str = "statistic", df: str = "df") -> D
         return pd.Series([k.t_pvalue(float(a), float(b)) if pd.notna(a) and b > 0 else None for a, b in zip(t, n, strict=True)], dtype=float)
 
     return tests.withColumn("pvalue", p(F.col(statistic).cast("double"), F.col(df).cast("double")))
+
+
+def pearson_test(xy: DataFrame) -> DataFrame:
+    """(signal_id, r, pvalue) of the correlation of x and y, by Student's t with n - 2 degrees of freedom."""
+    r, n = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr("x", "y"))), F.count(F.lit(1))
+    rows = xy.groupBy(KEY).agg(r.alias("r"), (n - 2).alias("df"))
+    t = F.try_divide(F.col("r") * F.sqrt("df"), F.sqrt(F.lit(1.0) - F.col("r") * F.col("r")))
+    return pvalues(rows.withColumn("statistic", t)).select(KEY, "r", "pvalue")

@@ -207,6 +207,18 @@ SQL = {
         z as (select signal_id, i, avg(x) over (partition by signal_id order by i rows between current row and 2 following) as a, avg(x) over w as b, count(*) over w as n from m window w as (partition by signal_id order by i rows between current row and 8 following)),
         f as (select signal_id, i, case when a >= b and a >= 25 then 1 when a < b and a < 25 then 0 end as f from z where n = 9)
         select signal_id, i + 1 as i, case when f = 1 then 'onset' else 'offset' end as kind from (select *, coalesce(lag(f) over (partition by signal_id order by i), 0) as g from f where f is not null) where f <> g""",
+    "template_positions": f"""with {WAVE}, x as (select row_id as signal_id, v, list_filter(range(1, len(v) - 1), lambda i: v[i + 1] < v[i] and v[i + 1] < v[i + 2]) as low,
+            list_filter(range(1, len(v) - 1), lambda i: v[i + 1] > v[i] and v[i + 1] > v[i + 2]) as high from wave),
+        y as (select *, list_max(list_filter(low, lambda i: i < 30)) as q, list_min(list_filter(low, lambda i: i > 30)) as s, list_position(v[1:25], list_max(v[1:25])) - 1 as p, list_position(v[41:], list_max(v[41:])) + 39 as t from x)
+        select signal_id, cast(coalesce(q, -1) as integer) as q, cast(coalesce(s, -1) as integer) as s, cast(coalesce(p, -1) as integer) as p, cast(coalesce(t, -1) as integer) as t, cast(coalesce(list_max(list_filter(high, lambda i: i < q)), -1) as integer) as q_start,
+            cast(coalesce(list_min(list_filter(high, lambda i: i > s)), -1) as integer) as s_end, cast(coalesce(list_max(list_filter(low, lambda i: i < p)), -1) as integer) as p_start, cast(coalesce(list_min(list_filter(low, lambda i: i > p and i < 25)), -1) as integer) as p_end,
+            cast(coalesce(list_max(list_filter(low, lambda i: i >= 30 and i < t)), -1) as integer) as t_start, cast(coalesce(list_min(list_filter(low, lambda i: i > t)), -1) as integer) as t_end from y""",
+    "basic_scr": f"""with {SIG}, {tops('sig', 'top')}, {tops('sig', 'low', 'min')},
+        f as (select signal_id, min(i) as ft, max(i) as lt, count(*) as nt from top group by signal_id), g as (select signal_id, min(i) as fl, max(i) as ll, count(*) as nl from low group by signal_id),
+        c as (select signal_id, case when fl > ft then 1 else 0 end as skip, nl - case when fl > ft then 1 else 0 end as nl, nt - case when lt < ll then 1 else 0 end as nt from f join g using (signal_id)),
+        a as (select signal_id, i, row_number() over (partition by signal_id order by i) as k from top), b as (select signal_id, i, row_number() over (partition by signal_id order by i) as k from low),
+        m as (select a.signal_id, a.i as t, b.i as l, (a.i + b.i) // 2 as mid from a join c using (signal_id) join b on b.signal_id = a.signal_id and b.k = a.k + c.skip where a.k <= nt - case when nt > nl then 1 else 0 end)
+        select m.signal_id, l as onset, mid as peak, {r('p.x - q.x')} as amplitude from m join sig p on p.signal_id = m.signal_id and p.i = mid join sig q on q.signal_id = m.signal_id and q.i = l""",
     "identify_heart_sounds": f"""with {RAW}, g as (select *, i - lag(i) over w as a, lead(i) over w - i as b, row_number() over w as k, count(*) over (partition by signal_id) as n from peak window w as (partition by signal_id order by i)),
         c as (select *, case when a > b then 1 when k > 1 and k < n then 2 end as s from g)
         select signal_id, i, cast(coalesce(s, 3 - lead(s) over w, 3 - lag(s) over w, 1) as integer) as sound from c window w as (partition by signal_id order by i)""",

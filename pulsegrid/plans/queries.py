@@ -124,7 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fsqi": lambda k, d: rounded(b.fsqi(s.welch_spectrum(v.sig_user(k, d), FS, 32, 16, decibel=False, scaling="density", double=False), (5, 20), (0, 40)), 5),
     "zz2018_simple": lambda k, d: b.zz2018(_scores(k, d), "simple"),
     "zz2018_fuzzy": lambda k, d: b.zz2018(_scores(k, d), "fuzzy"),
-    "template_positions": lambda k, d: b.template_positions(_templates(k, d), r=30, p_end=25, t_start=40).drop("beat"),
+    "template_positions": lambda k, d: b.template_positions(_templates(k, d), r=30, p_end=25, t_start=40).drop("beat").na.fill(-1),
     "threshold_edges": lambda k, d: b.threshold_edges(v.sig_user(k, d), F.lit(60.0)),
     "hodges_bui": lambda k, d: b.hodges_bui(v.sig_user(k, d), 10.0, 8.0, 6, 1.25),
     "silva": lambda k, d: b.silva(v.sig_user(k, d), 3, 9, 25.0),
@@ -177,6 +177,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "average_rate": lambda k, d: rounded(p.average_rate(v.sig_user(k, d), 20.0)),
     "ppg_mean_pulse": lambda k, d: rounded(p.ppg_mean_pulse(synthetic.ecg_table(k, 2, 10))),
     "homomorphic_filter": lambda k, d: rounded(p.homomorphic_filter(v.sig_type(k, d), 100.0)),
+    "pearson_test": lambda k, d: rounded(p.pearson_test(v.xy(k, d))),
+    "filter_response": lambda k, d: rounded(k.createDataFrame(p.filter_response("butter", "bandpass", 4, [1, 8], 100.0, 256)), 5),
+    "unpaired_test": lambda k, d: rounded(p.pvalues(s.unpaired_test(v.xy(k, d)))),
     "paired_test": lambda k, d: rounded(p.pvalues(s.paired_test(v.xy(k, d)))),
 }
 
