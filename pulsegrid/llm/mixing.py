@@ -9,7 +9,7 @@ from .common import WORD, cut, with_row_id
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_REPEATS = 1.5, 2
-BLOCK_TOKENS, DOCS_PER_SHARD, SEED = 128, 20_000, "mix-1"
+BLOCK_TOKENS, DOCS_PER_SHARD, SEED = 128, 4_000, "mix-1"
 #: Up to so many sources their table is broadcast.
 MAX_BROADCAST_SOURCES = 65_536
 #: A prime above the number of blocks in any shard: b -> STEP * b + c runs through all blocks of a shard.
