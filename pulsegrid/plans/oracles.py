@@ -70,7 +70,7 @@ def dist(metric: str) -> str:
     return forms[metric]
 
 
-DBSCAN = f"""with recursive {WAVE}, part as (select * from wave where label < 2),
+DBSCAN = f"""with recursive {WAVE}, part as (select * from wave),
     near as (select a.row_id as i, b.row_id as j from part a join part b on a.row_id <> b.row_id where {dist('euclidean')} <= 9.5),
     core as (select row_id from part left join near on row_id = i group by row_id having count(j) + 1 >= 4),
     link as (select i, j from near where i in (from core) and j in (from core)),
@@ -228,17 +228,17 @@ SQL = {
         p as (select signal_id, lag as period from (select *, row_number() over (partition by signal_id order by c desc, lag) as place from c where lag between 5 and 28) where place = 1),
         s as (select signal_id, lag + 1 as s from (select c.*, row_number() over (partition by c.signal_id order by c desc, lag) as place from c join p using (signal_id) where lag >= 3 and lag < round_even(period / 2, 0) - 1) where place = 1)
         select signal_id, {r('1200.0 / period')} as heart_rate, {r('coalesce(s, 4) / 20.0')} as systolic from p left join s using (signal_id)""",
-    "pdist_euclidean": f"with {WAVE} select a.row_id as i, b.row_id as j, {r(dist('euclidean'), 5)} as d from wave a join wave b on a.row_id < b.row_id and a.label = 3 and b.label = 3",
-    "pdist_pcosine": f"with {WAVE} select a.row_id as i, b.row_id as j, {r(dist('pcosine'), 5)} as d from wave a join wave b on a.row_id < b.row_id and a.label = 3 and b.label = 3",
-    "cdist_cityblock": f"with {WAVE} select a.row_id as i, b.row_id as j, {r(dist('cityblock'), 5)} as d from wave a join wave b on a.label = 1 and b.label = 2",
-    "squareform": f"with {WAVE} select a.row_id as i, b.row_id as j, {r(dist('chebyshev'), 5)} as d from wave a join wave b on a.label = 3 and b.label = 3",
+    "pdist_euclidean": f"with {WAVE} select a.row_id as i, b.row_id as j, {r(dist('euclidean'), 5)} as d from wave a join wave b on a.row_id < b.row_id",
+    "pdist_pcosine": f"with {WAVE} select a.row_id as i, b.row_id as j, {r(dist('pcosine'), 5)} as d from wave a join wave b on a.row_id < b.row_id",
+    "cdist_cityblock": f"with {WAVE} select a.row_id as i, b.row_id as j, {r(dist('cityblock'), 5)} as d from wave a join wave b on a.label < 5 and b.label >= 5",
+    "squareform": f"with {WAVE} select a.row_id as i, b.row_id as j, {r(dist('chebyshev'), 5)} as d from wave a, wave b",
     "dbscan": f"{DBSCAN} select part.row_id, cast(coalesce(cluster, -1) as integer) as cluster from part left join named using (row_id) left join numbered on numbered.label = named.label",
     "outliers_dbscan": f"{DBSCAN} select part.row_id, case when cluster is null then -1 else 0 end as cluster from part left join named using (row_id) left join numbered on numbered.label = named.label",
     "outliers_dmean": f"""with {SPREAD}, mean as (select list(m order by p) as m from (select p, avg(x) as m from spread group by p)),
         f as (select row_id, list_max(v) as top, list_min(v) as low, list_position(v, list_max(v)) - 1 as place, round(list_distance(v, m), 5) as d from wave, mean),
         u as (select place as usual from f group by place order by count(*) desc, place limit 1), l as (select 1.5 * median(top) as hi, 1.5 * median(low) as lo, avg(d) + 0.5 * stddev_samp(d) as far from f)
         select row_id, case when place <> usual or top > hi or low < lo or d > far then -1 else 0 end as cluster from f, u, l""",
-    "mean_distance": f"with {WAVE} select a.row_id, {r('avg(list_distance(a.v, b.v))', 5)} as md from wave a join wave b on a.label = 4 and b.label = 4 group by a.row_id",
+    "mean_distance": f"with {WAVE} select a.row_id, {r('avg(list_distance(a.v, b.v))', 5)} as md from wave a join wave b on true group by a.row_id",
     "mdist_templates": f"""with {WAVE}, md as (select a.label as cluster, a.row_id, round(avg(case when a.row_id = b.row_id then 0.0 else list_distance(a.v, b.v) end), 5) as md from wave a join wave b on a.label = b.label group by all),
         n as (select label as cluster, count(*) as n from wave group by label), q as (select cluster, j, n / cast(j + 1 as double) as q from n, range(0, 20) t(j)),
         s as (select cluster, count(*) filter (place <= 20) as seats from (select *, row_number() over (order by q desc, cluster, j) as place from q) group by cluster)

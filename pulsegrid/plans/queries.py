@@ -133,20 +133,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "avg_heart_rate": lambda k, d: rounded(b.avg_heart_rate(v.sig_user(k, d), 20.0, digits=4)),
     "resp_rate": lambda k, d: rounded(b.resp_rate(v.sig_user(k, d), 1.0)),
     # Distances, clusters, templates.
-    "pdist_euclidean": lambda k, d: rounded(m.pdist(v.waves(k, d).where("label = 3")), 5),
-    "pdist_pcosine": lambda k, d: rounded(m.pdist(v.waves(k, d).where("label = 3"), "pcosine"), 5),
-    "cdist_cityblock": lambda k, d: rounded(m.cdist(v.waves(k, d).where("label = 1"), v.waves(k, d).where("label = 2"), "cityblock"), 5),
-    "squareform": lambda k, d: rounded(m.squareform(m.pdist(v.waves(k, d).where("label = 3"), "chebyshev")), 5),
-    "dbscan": lambda k, d: c.dbscan(v.waves(k, d).where("label < 2"), 4, 9.5),
-    "outliers_dbscan": lambda k, d: c.outliers_dbscan(v.waves(k, d).where("label < 2"), 4, 9.5),
+    "pdist_euclidean": lambda k, d: rounded(m.pdist(v.waves(k, d)), 5),
+    "pdist_pcosine": lambda k, d: rounded(m.pdist(v.waves(k, d), "pcosine"), 5),
+    "cdist_cityblock": lambda k, d: rounded(m.cdist(v.waves(k, d).where("label < 5"), v.waves(k, d).where("label >= 5"), "cityblock"), 5),
+    "squareform": lambda k, d: rounded(m.squareform(m.pdist(v.waves(k, d), "chebyshev")), 5),
+    "dbscan": lambda k, d: c.dbscan(v.waves(k, d), 4, 9.5),
+    "outliers_dbscan": lambda k, d: c.outliers_dbscan(v.waves(k, d), 4, 9.5),
     "outliers_dmean": lambda k, d: c.outliers_dmean(v.waves(k, d), digits=5),
-    "mean_distance": lambda k, d: rounded(c.mean_distance(v.waves(k, d).where("label = 4")), 5),
+    "mean_distance": lambda k, d: rounded(c.mean_distance(v.waves(k, d)), 5),
     "mdist_templates": lambda k, d: c.mdist_templates(v.waves(k, d), v.waves(k, d).select("row_id", F.col("label").alias("cluster")), 20, digits=5),
     "centroid_templates": lambda k, d: rounded(c.centroid_templates(v.waves(k, d), v.waves(k, d).select("row_id", F.col("label").alias("cluster"))).select("cluster", F.posexplode("template").alias("p", "x"))),
     "coassoc": lambda k, d: c.create_coassoc(_ensemble(k, d)),
     "extract_clusters": lambda k, d: c.extract_clusters(v.waves(k, d).select("row_id", (F.col("label") - 1).alias("cluster"))).select("cluster", F.explode("rows").alias("row_id")),
     "merge_clusters": lambda k, d: c.merge_clusters(v.waves(k, d).select("row_id", (F.col("label") - 1).alias("cluster"))),
-    "hierarchical": lambda k, d: c.hierarchical(v.waves(k, d).where("label < 2"), 4, "average"),
+    "hierarchical": lambda k, d: c.hierarchical(v.waves(k, d), 4, "average"),
     "coassoc_partition": lambda k, d: c.coassoc_partition(c.create_coassoc(_ensemble(k, d)), 3),
     "kmeans": lambda k, d: c.kmeans(v.waves(k, d), 10, n_init=2),
     # Biometrics.
@@ -214,7 +214,7 @@ QUERIES |= {
 def _svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes, templates, _ = _knn(spark, sf_dir)
     model = bio.SVM(spark)
-    model.save_templates(templates.where("subject < '4'"))
+    model.save_templates(templates)
     model.train()
     return model.recognise(probes, spark.range(1).select(F.lit(0.5).alias("threshold")))
 
