@@ -248,3 +248,53 @@ def test_bins_are_the_tightest_compatible():
         slow[at]["room"] -= n
         slow[at]["clusters"] |= cluster
         slow[at]["sources"].append(source)
+
+
+def edited(r, line, share, kind):
+    """The line with that share of its characters edited at random places, or with a word swapped or added."""
+    words, chars = line.split(" "), list(line)
+    if kind == "swap":
+        i = r.randrange(len(words) - 1)
+        words[i], words[i + 1] = words[i + 1], words[i]
+        return " ".join(words)
+    if kind == "add":
+        words.insert(r.randrange(len(words) + 1), made_up(r, 1))
+        return " ".join(words)
+    for _ in range(max(1, int(len(chars) * share))):
+        i, c = r.randrange(len(chars)), r.choice("abcdefghijklmnopqrstuvwxyz")
+        chars[i : i + 1] = r.choice([[], [c], [chars[i], c]])
+    return " ".join("".join(chars).split())
+
+
+def made_up(r, n):
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(n))
+
+
+def test_lines_of_edit_similarity_are_candidates(spark):
+    """Recall against brute-force edit similarity, case by case, over random lines and edits."""
+    from pyspark.sql import functions as F
+
+    r, rows = random.Random(4), []
+    cases = [(n, s, "edit") for n in (5, 8, 12, 20, 60) for s in (0.0, 0.05, 0.08, 0.1)] + [(n, 0, k) for n in (12, 20, 60) for k in ("swap", "add")]
+    for case in cases:
+        for _ in range(100):
+            x = made_up(r, case[0])
+            y = edited(r, x, case[1], case[2])
+            rows.append((str(case), x, y))
+    pairs = spark.createDataFrame(rows, "k string, x string, y string").withColumn("most", F.greatest(F.length("x"), F.length("y")))
+    near = pairs.where("x <> y and levenshtein(x, y) <= floor(most * 0.1 + 1e-9)")
+    met = near.select("k", F.expr(f"arrays_overlap({fl.bucket_keys('x')}, {fl.bucket_keys('y')})").cast("int").alias("met"))
+    got = {g["k"]: (g["n"], g["recall"]) for g in met.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("met").alias("recall")).collect()}
+    print(got)
+    assert sum(n for n, _ in got.values()) > 1000
+    assert all(recall >= 0.9 for n, recall in got.values() if n >= 20), got
+    assert sum(n * recall for n, recall in got.values()) >= 0.97 * sum(n for n, _ in got.values()), got
+
+
+def test_edited_lines_are_dropped(stored):
+    r = random.Random(5)
+    base = [made_up(r, 20) for _ in range(40)]
+    near = [edited(r, x, 0.05, "edit") for x in base]
+    assert all(edit(x, y) <= 0.1 * max(len(x), len(y)) for x, y in zip(base, near, strict=True))
+    got = fl.dedup_lines(stored([(0, "\n".join(base), "s", 0, 0), (1, "\n".join(near), "s", 0, 0)], SCHEMA)).collect()
+    assert sum(x["n_dropped"] for x in got) >= 38
