@@ -22,8 +22,8 @@ FOLDS, HELD_OUT = 7, 2
 HEAD = 262_144
 #: Words that the network tells apart; others are one to it, told apart by their counts.
 WORDS, CLASSES = 4_096, 64
-#: The network learns from ROUNDS of each SHARES parts of the training documents, so what it sees grows with the corpus.
-SHARES, ROUNDS = 16, 2
+#: The network learns once from each training document, in so many rounds.
+ROUNDS = 2
 STREAMS, BLOCK = 64, 65_536
 #: The end of a text: no word holds a space.
 END = b" "
@@ -123,13 +123,17 @@ def _network(vocabulary: Vocabulary, weights: np.ndarray | None) -> Gru:
     return net
 
 
+def part(training: DataFrame, r: int) -> DataFrame:
+    """The texts of round r; each training document is in one round."""
+    return training.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(ROUNDS)) == r).select("text")
+
+
 def train(training: DataFrame, vocabulary: Vocabulary) -> np.ndarray | None:
     """The network's weights. In each round all tasks train on from the same weights, on their part of
     the round's documents, and the results are averaged, weighted by words, in two steps of a tree."""
     weights = None
     for r in range(ROUNDS):
-        part = training.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARES)) == r).select("text")
-        parts = part.mapInArrow(partial(_learn, vocabulary=vocabulary, weights=weights), "block int, words long, sums binary").withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(16)))
+        parts = part(training, r).mapInArrow(partial(_learn, vocabulary=vocabulary, weights=weights), "block int, words long, sums binary").withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(16)))
         schema = "block int, words long, sums binary"
         half = parts.groupBy("block", "branch").applyInArrow(lambda t: _add(t), schema)
         rows = sorted(half.groupBy("block").applyInArrow(lambda t: _add(t), schema).collect(), key=lambda x: x["block"])

@@ -98,6 +98,12 @@ def test_tail_words_are_joined(stored, monkeypatch):
         assert r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"]) and r["n_known"] == whole[r["doc_id"]]["n_known"]
 
 
+def test_network_learns_from_every_training_document(stored):
+    rows = stored(rows_of([f"text {i}" for i in range(200)]), SCHEMA).selectExpr("doc_id as id", "text")
+    seen = Counter(x["text"] for r in range(lm.ROUNDS) for x in lm.part(rows, r).collect())
+    assert seen == Counter(f"text {i}" for i in range(200))
+
+
 def test_gradients_of_the_attention_network():
     r = np.random.default_rng(0)
     net = q.GatedAttention(np.zeros(6), np.ones(6))
