@@ -77,35 +77,39 @@ class Vocabulary:
 
 
 def _learn(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, weights: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Trains on the task's texts, end to end in STREAMS streams; gives the weights in blocks, times the words seen."""
+    """Trains on the task's texts, end to end in STREAMS streams; gives the weights in blocks, times the words seen.
+
+    All streams advance together while they are long; at the end those that still hold words go on without the
+    others, so that each word and each end is learnt once.
+    """
     net = _network(vocabulary, weights)
     seen, known, words = {k: np.full_like(x, 1e-4) for k, x in net.p.items()}, vocabulary.known, 0
-    streams: list[list[np.ndarray]] = [[] for _ in range(STREAMS)]
-    sizes, h = np.zeros(STREAMS, np.int64), np.zeros((STREAMS, HIDDEN), np.float32)
-
-    def windows(least: int) -> None:
-        nonlocal h, words
-        while sizes.min() > least:
-            flat = [np.concatenate(s) if len(s) > 1 else s[0] for s in streams]
-            steps = min(int(sizes.min()) - 1, WINDOW)
-            block = np.stack([f[: steps + 1] for f in flat], axis=1)
-            x, y = block[:-1], block[1:]
-            h, _ = net.learn(x, y, x == vocabulary.start(), h, seen)
-            words += x.size
-            for i, f in enumerate(flat):
-                streams[i] = [f[steps:]]
-                sizes[i] -= steps
+    streams: list[list[np.ndarray]] = [[np.array([vocabulary.start()])] for _ in range(STREAMS)]
+    sizes, h = np.ones(STREAMS, np.int64), np.zeros((STREAMS, HIDDEN), np.float32)
+
+    def window(live: np.ndarray) -> None:
+        nonlocal words
+        flat = [np.concatenate(streams[i]) if len(streams[i]) > 1 else streams[i][0] for i in live]
+        steps = min(int(sizes[live].min()) - 1, WINDOW)
+        block = np.stack([f[: steps + 1] for f in flat], axis=1)
+        x, y = block[:-1], block[1:]
+        h[live], _ = net.learn(x, y, x == vocabulary.start(), h[live], seen)
+        words += x.size
+        for i, f in zip(live, flat, strict=True):
+            streams[i] = [f[steps:]]
+        sizes[live] -= steps
 
     for batch in batches:
         for text in as_bytes(batch.column(0)):
             get = vocabulary.ids.get
-            ids = np.fromiter((min(get(w, known), known) for w in [END, *split_words(text), END]), np.int64)
+            ids = np.fromiter((min(get(w, known), known) for w in [*split_words(text), END]), np.int64)
             i = int(sizes.argmin())
             streams[i].append(ids)
             sizes[i] += len(ids)
-            windows(WINDOW)
-    if sizes.min() > 1:
-        windows(1)
+            while sizes.min() > WINDOW:
+                window(np.arange(STREAMS))
+    while len(live := np.flatnonzero(sizes > 1)):
+        window(live)
     flat = net.flat() * words
     for k in range(0, len(flat), BLOCK):
         yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "words": pa.array([words], pa.int64()), "sums": pa.array([flat[k : k + BLOCK].astype(np.float32).tobytes()], pa.binary())})

@@ -104,6 +104,18 @@ def test_network_learns_from_every_training_document(stored):
     assert seen == Counter(f"text {i}" for i in range(200))
 
 
+@pytest.mark.parametrize("texts", [["the cat sat"], ["the cat sat"] * 20 + ["the cat sat on the mat " * 900] + ["on the mat"] * 90, [f"the cat {i} sat " * 30 for i in range(150)]])
+def test_every_word_of_the_texts_is_learnt(texts):
+    import pyarrow as pa
+
+    counts = Counter(w for x in texts for w in [*x.encode().split(), lm.END])
+    vocabulary = lm.Vocabulary([w for w, _ in counts.most_common()], np.array([c for _, c in counts.most_common()], float), sum(counts.values()), len(counts))
+    got = list(lm._learn(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts)})]), vocabulary, None))
+    assert all(x.column("words").to_pylist() == [sum(counts.values())] for x in got)
+    weights = np.concatenate([np.frombuffer(x.column("sums")[0].as_py(), np.float32) for x in got]) / sum(counts.values())
+    assert np.isfinite(weights).all() and not np.allclose(weights, lm._network(vocabulary, None).flat(), atol=1e-3)
+
+
 def test_gradients_of_the_attention_network():
     r = np.random.default_rng(0)
     net = q.GatedAttention(np.zeros(6), np.ones(6))
