@@ -10,7 +10,7 @@ HIDDEN, WINDOW, RATE = 32, 32, 0.06
 def word_classes(counts: np.ndarray, classes: int) -> np.ndarray:
     """The class of each word id, ids being in order of falling counts: classes of like sums of square roots."""
     share = np.cumsum(np.sqrt(counts + 1.0))
-    return np.minimum((share / share[-1] * classes).astype(np.int64), classes - 1)
+    return np.unique(np.minimum((share / share[-1] * classes).astype(np.int64), classes - 1), return_inverse=True)[1]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -57,7 +57,7 @@ class Gru:
         return z, r, new, b[:, 2 * n :], new + z * (h - new)
 
     def word_logs(self, h: np.ndarray, y: np.ndarray, learn: bool = False) -> tuple:
-        """Natural logs of P(y | h); if learning, also the mean loss's gradients for C, c, W, w, h."""
+        """Natural logs of P(y | h); if learning, also the mean loss's gradients for C, c, h, and of_class: for W and w in the rows of each class met."""
         p, n = self.p, len(y)
         logits = h @ p["C"] + p["c"]
         logits -= logits.max(1, keepdims=True)
@@ -71,7 +71,7 @@ class Gru:
         if learn:
             d = e / total[:, None] / n
             d[np.arange(n), own] -= 1 / n
-            g = {"C": h.T @ d, "c": d.sum(0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"]), "h": d @ p["C"].T}
+            g = {"C": h.T @ d, "c": d.sum(0), "of_class": [], "h": d @ p["C"].T}
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
             at, a, b = order[cuts[k] : cuts[k + 1]], self.first[k], self.first[k + 1]
             x = h[at] @ p["W"][a:b].T + p["w"][a:b]
@@ -83,7 +83,7 @@ class Gru:
             if learn:
                 d = ex / sums[:, None] / n
                 d[pick] -= 1 / n
-                g["W"][a:b], g["w"][a:b] = d.T @ h[at], d.sum(0)
+                g["of_class"].append((slice(a, b), d.T @ h[at], d.sum(0)))
                 g["h"][at] += d @ p["W"][a:b]
         return out, g
 
@@ -114,6 +114,10 @@ class Gru:
         words, order = x.ravel(), np.argsort(x.ravel(), kind="stable")
         firsts = np.flatnonzero(np.r_[True, words[order][1:] != words[order][:-1]])
         rows = words[order][firsts]
+        for rows_of, *both in grad.pop("of_class"):
+            for k, v in zip("Ww", both, strict=True):
+                seen[k][rows_of] += v * v
+                p[k][rows_of] -= RATE * v / np.sqrt(seen[k][rows_of] + 1e-8)
         for k, v in grad.items():
             seen[k] += v * v
             p[k] -= RATE * v / np.sqrt(seen[k] + 1e-8)

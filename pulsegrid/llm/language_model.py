@@ -6,6 +6,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,9 @@ from .words import as_bytes, split_words
 FOLDS, HELD_OUT = 7, 2
 #: Words whose counts are sent to the workers; the counts of all others are joined.
 HEAD = 262_144
-#: Words that the network tells apart; others are one to it, told apart by their counts.
-WORDS, CLASSES = 4_096, 64
+#: The network has an id of its own for the commonest words and hashed ids for the rest. There are GROWTH times the root of the
+#: number of distinct words of either, without a limit; words that share a hashed id are told apart by their counts.
+WORDS, GROWTH, CLASSES = 4_096, 4, 64
 #: The network learns once from each training document, in so many rounds.
 ROUNDS = 2
 STREAMS, BLOCK = 64, 65_536
@@ -52,28 +55,63 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count, "word binary, c long").where("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def own_words(v: int) -> int:
+    """How many of v distinct words have ids of their own in the network; at least WORDS - 1 if there are."""
+    return max(WORDS - 1, ceil(GROWTH * v**0.5))
+
+
+def hashed_ids(v: int) -> int:
+    """How many hashed ids the rest of v distinct words have."""
+    return max(1, ceil(GROWTH * v**0.5)) if v > own_words(v) else 1
+
+
 @dataclass
 class Vocabulary:
-    """words: the head, by falling count; counts: theirs. n, v: all training tokens, and how many distinct."""
+    """words: the head, by falling count; counts: theirs. n, v: all training tokens, and how many distinct.
+
+    shared: for each hashed id the sum of the counts plus one of all words with that hash, own ids included.
+    """
 
     words: list[bytes]
     counts: np.ndarray
     n: int
     v: int
+    shared: np.ndarray | None = None
 
     def __post_init__(self):
         self.ids = {w: i for i, w in enumerate(self.words)}
-        self.known = min(WORDS - 1, len(self.words))
-        #: Log10 of add-one unigram probabilities, and of those among the words that the network doesn't tell apart.
+        self.known, self.hashed = min(own_words(self.v), len(self.words)), hashed_ids(self.v)
+        #: The id in the network of each word of the head.
+        self.net = np.arange(len(self.words))
+        self.net[self.known :] = [self.hashed_id(w) for w in self.words[self.known :]]
+        own = np.array([self.hashed_id(w) - self.known for w in self.words[: self.known]], np.int64)
+        total = np.array([self.n + self.v], np.float64) if self.shared is None else np.asarray(self.shared, np.float64)
+        #: The counts plus one of the words that share each hashed id, and one for words never seen.
+        self.rest = total - np.bincount(own, self.counts[: self.known] + 1, self.hashed) + 1
+        #: Log10 of add-one unigram probabilities, and of those among the words that share an id.
         self.base = np.log10((self.counts + 1) / (self.n + self.v + 1))
-        self.rest = float(np.log10(self.n - self.counts[: self.known].sum() + (self.v - self.known) + 1))
+        self.aside = np.log10(self.counts + 1)
+        self.aside[: self.known] = 0
+        self.aside[self.known :] -= np.log10(self.rest[self.net[self.known :] - self.known])
+
+    def hashed_id(self, word: bytes) -> int:
+        return self.known + crc32(word) % self.hashed
 
     def network_counts(self) -> np.ndarray:
-        """Counts of the network's words, the last being all others."""
-        return np.r_[self.counts[: self.known], self.n - self.counts[: self.known].sum()].astype(np.float64)
+        """Counts of the network's ids, the hashed ones last."""
+        return np.r_[self.counts[: self.known], self.rest - 1].astype(np.float64)
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word the place in the head, -1 if it isn't there, and the id in the network."""
+        get = self.ids.get
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        ids = self.net[at] if len(self.net) else np.zeros(len(at), np.int64)
+        for i in np.flatnonzero(at < 0):
+            ids[i] = self.hashed_id(words[i])
+        return at, ids
 
     def start(self) -> int:
-        return min(self.ids.get(END, self.known), self.known)
+        return int(self.look_up([END])[1][0])
 
 
 def _learn(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, weights: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -83,8 +121,8 @@ def _learn(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, weights: n
     others, so that each word and each end is learnt once.
     """
     net = _network(vocabulary, weights)
-    seen, known, words = {k: np.full_like(x, 1e-4) for k, x in net.p.items()}, vocabulary.known, 0
-    streams: list[list[np.ndarray]] = [[np.array([vocabulary.start()])] for _ in range(STREAMS)]
+    seen, start, words = {k: np.full_like(x, 1e-4) for k, x in net.p.items()}, vocabulary.start(), 0
+    streams: list[list[np.ndarray]] = [[np.array([start])] for _ in range(STREAMS)]
     sizes, h = np.ones(STREAMS, np.int64), np.zeros((STREAMS, HIDDEN), np.float32)
 
     def window(live: np.ndarray) -> None:
@@ -93,7 +131,7 @@ def _learn(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, weights: n
         steps = min(int(sizes[live].min()) - 1, WINDOW)
         block = np.stack([f[: steps + 1] for f in flat], axis=1)
         x, y = block[:-1], block[1:]
-        h[live], _ = net.learn(x, y, x == vocabulary.start(), h[live], seen)
+        h[live], _ = net.learn(x, y, x == start, h[live], seen)
         words += x.size
         for i, f in zip(live, flat, strict=True):
             streams[i] = [f[steps:]]
@@ -101,8 +139,7 @@ def _learn(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, weights: n
 
     for batch in batches:
         for text in as_bytes(batch.column(0)):
-            get = vocabulary.ids.get
-            ids = np.fromiter((min(get(w, known), known) for w in [*split_words(text), END]), np.int64)
+            _, ids = vocabulary.look_up([*split_words(text), END])
             i = int(sizes.argmin())
             streams[i].append(ids)
             sizes[i] += len(ids)
@@ -121,7 +158,8 @@ def _add(rows: pa.Table) -> pa.Table:
 
 
 def _network(vocabulary: Vocabulary, weights: np.ndarray | None) -> Gru:
-    net = Gru(vocabulary.network_counts(), CLASSES)
+    counts = vocabulary.network_counts()
+    net = Gru(counts, max(CLASSES, ceil(len(counts) ** 0.5)))
     if weights is not None:
         net.load(weights)
     return net
@@ -148,18 +186,18 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> np.ndarray | None:
 
 def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, weights: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """A row per text: (row, id, n_tokens, n_known, base, score) over the head's words; and rows (row, word, n) of other words."""
-    net, known, get = _network(vocabulary, weights), vocabulary.known, vocabulary.ids.get
-    base = np.r_[vocabulary.base, 0.0]
-    aside = np.r_[np.zeros(known), np.log10(vocabulary.counts[known:] + 1) - vocabulary.rest, -vocabulary.rest]
+    net, known, start = _network(vocabulary, weights), vocabulary.known, vocabulary.start()
+    base, aside, rest = np.r_[vocabulary.base, 0.0], np.r_[vocabulary.aside, 0.0], np.log10(vocabulary.rest)
     for batch in batches:
         rows, ids, texts = batch.column(0), batch.column(1), as_bytes(batch.column(2))
         sizes = np.array([len(t) for t in texts])
         order = np.argsort(-sizes, kind="stable")
         for some in np.array_split(order, max(1, -(-len(order) // 1024))):
             words = [split_words(texts[i]) for i in some]
-            at = [np.fromiter((get(w, -1) for w in [*ws, END]), np.int64, len(ws) + 1) for ws in words]
+            at, own = zip(*(vocabulary.look_up([*ws, END]) for ws in words), strict=True) if words else ((), ())
             tail = [Counter(w for w, i in zip(ws, a, strict=False) if i < 0) for ws, a in zip(words, at, strict=True)]
-            scored = net.score([np.where((a < 0) | (a > known), known, a) for a in at], vocabulary.start()) / np.log(10)
+            scored = net.score(list(own), start) / np.log(10)
+            apart = [aside[a].sum() - rest[o[a < 0] - known].sum() for a, o in zip(at, own, strict=True)]
             tails = [(int(rows[int(i)].as_py()), w, c) for i, t in zip(some, tail, strict=True) for w, c in t.items()]
             n, none = len(some), [None] * len(tails)
             chosen = rows.take(pa.array(some))
@@ -171,7 +209,7 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, weights: n
                     "n": pa.array([len(a) for a in at] + [t[2] for t in tails], pa.int64()),
                     "n_known": pa.array([int((a >= 0).sum()) for a in at] + none, pa.int64()),
                     "base": pa.array([float(base[a].sum()) for a in at] + none, pa.float64()),
-                    "score": pa.array([float(s + aside[a].sum()) for s, a in zip(scored, at, strict=True)] + none, pa.float64()),
+                    "score": pa.array([float(s + x) for s, x in zip(scored, apart, strict=True)] + none, pa.float64()),
                 }
             )
 
@@ -181,7 +219,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Tokens are words with A-Z lower-cased, then one end. Counts are over all training documents, those
     whose crc32(id as text) mod 7 isn't 2. base_score is the add-one unigram log10 probability; score
-    the model's: the network tells the commonest words apart, and the words that it doesn't share
+    the model's: the network tells the commonest words apart, the others by hashed ids, whose words share
     their probability by their counts plus one. Null and empty texts are one end; a document with a null id is scored
     but not learnt from; repeated rows and other columns are fine; an empty table gives no rows.
     """
@@ -190,7 +228,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = cut(corpus_counts(training.select("text")))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    vocabulary = Vocabulary([bytes(r["word"]) for r in head], np.array([r["c"] for r in head], np.float64), totals["n"], totals["v"])
+    hashed = counts.groupBy(F.pmod(F.crc32("word"), F.lit(hashed_ids(totals["v"]))).alias("h")).agg(F.sum(F.col("c") + 1).alias("c")).collect()
+    shared = np.zeros(hashed_ids(totals["v"]))
+    shared[[r["h"] for r in hashed]] = [r["c"] for r in hashed]
+    vocabulary = Vocabulary([bytes(r["word"]) for r in head], np.array([r["c"] for r in head], np.float64), totals["n"], totals["v"], shared)
     weights = train(training, vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
     parts = cut(rows.mapInArrow(partial(_score, vocabulary=vocabulary, weights=weights), f"row long, id {kind}, word binary, n long, n_known long, base double, score double"))

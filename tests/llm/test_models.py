@@ -116,6 +116,28 @@ def test_every_word_of_the_texts_is_learnt(texts):
     assert np.isfinite(weights).all() and not np.allclose(weights, lm._network(vocabulary, None).flat(), atol=1e-3)
 
 
+def test_network_tells_rare_words_apart(monkeypatch):
+    """Words without ids of their own differ as context and as target; the probabilities of all words add up."""
+    monkeypatch.setattr(lm, "WORDS", 4)
+    words = [lm.END, *(f"w{i}".encode() for i in range(400))]
+    counts, v = np.arange(401, 0, -1.0), 401
+    shared = np.zeros(lm.hashed_ids(v))
+    for w, c in zip(words, counts, strict=True):
+        shared[lm.crc32(w) % len(shared)] += c + 1
+    vocabulary = lm.Vocabulary(words[:300], counts[:300], int(counts.sum()), v, shared)
+    net = lm._network(vocabulary, None)
+    at, ids = vocabulary.look_up(words)
+    assert (at[:300] == np.arange(300)).all() and (at[300:] == -1).all() and len(set(ids[vocabulary.known :])) > 50
+    assert lm.own_words(10**6) == 4000 and lm.own_words(10**8) == lm.hashed_ids(10**8) == 40_000
+    h = np.random.default_rng(0).standard_normal((1, 32)).astype(np.float32)
+    apart = np.where(at >= 0, vocabulary.aside[at.clip(0)], np.log10(counts + 1) - np.log10(vocabulary.rest[(ids - vocabulary.known).clip(0)]))
+    unseen = sum(math.exp(net.word_logs(h, np.array([vocabulary.known + b]))[0][0]) / vocabulary.rest[b] for b in range(vocabulary.hashed))
+    total = sum(math.exp(net.word_logs(h, np.array([i]))[0][0]) * 10**a for i, a in zip(ids, apart, strict=True))
+    assert total + unseen == pytest.approx(1, abs=1e-4)
+    states = {net.step(np.array([i]), h)[-1].tobytes() for i in ids}
+    assert len(states) == len(set(ids))
+
+
 def test_gradients_of_the_attention_network():
     r = np.random.default_rng(0)
     net = q.GatedAttention(np.zeros(6), np.ones(6))
