@@ -54,15 +54,24 @@ class WordScores(dict):
 
 
 def word_scores(words: list[bytes], known: WordScores) -> np.ndarray:
-    """Scores of a text's words; a repeated word adds no evidence of its own."""
-    scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-    up = np.flatnonzero(scores > 0)
-    seen: set[bytes] = set()
-    for i in up:
-        if words[i] in seen:
-            scores[i] = 0.0
-        seen.add(words[i])
-    return scores
+    """Scores of a text's words, each occurrence with its own."""
+    return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+
+
+def discounted(words: list[bytes], scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """The maximal segments (start, end, score) over all occurrences. A segment that repeats a positive word scores as
+    its best part does with the repeats at 0: within a passage a repeated word adds no evidence of its own."""
+    found = []
+    for a, b, s in segments(scores):
+        own, seen = scores[a:b].copy(), set()
+        for i in np.flatnonzero(own > 0):
+            if words[a + i] in seen:
+                own[i] = 0.0
+            seen.add(words[a + i])
+        if len(seen) < np.count_nonzero(scores[a:b] > 0):
+            s = max(x for _, _, x in segments(own))
+        found.append((a, b, s))
+    return found
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -95,9 +104,9 @@ class ToxicModel:
     k: float
     weights: tuple[float, float, float]
 
-    def evidence(self, scores: np.ndarray) -> tuple[list[tuple[int, int, float]], float, float]:
+    def evidence(self, words: list[bytes], scores: np.ndarray) -> tuple[list[tuple[int, int, float]], float, float]:
         """Significant segments (start, end, bits beyond chance), the best one's bits and all their bits together."""
-        found = [(a, b, (self.lam * s - np.log(max(self.k * len(scores), 1e-300))) / np.log(2)) for a, b, s in segments(scores)]
+        found = [(a, b, (self.lam * s - np.log(max(self.k * len(scores), 1e-300))) / np.log(2)) for a, b, s in discounted(words, scores)]
         kept = [x for x in found if x[2] >= -np.log2(SIGNIFICANT)]
         return kept, max([0.0, *(x[2] for x in found)]), sum(x[2] for x in kept)
 
@@ -195,9 +204,10 @@ def _raw(batches: Iterator[pa.RecordBatch], table: dict[str, float]) -> Iterator
     for batch in batches:
         n, found, counts = [], [], []
         for text in as_bytes(batch.column(0)):
-            scores = word_scores(text.lower().split(), known)
+            words = text.lower().split()
+            scores = word_scores(words, known)
             n.append(len(scores))
-            found.append([x for _, _, x in segments(scores)])
+            found.append([x for _, _, x in discounted(words, scores)])
             counts.append(np.histogram(np.clip(scores, BINS[0], BINS[-1]), BINS)[0])
         yield pa.RecordBatch.from_pydict({"label": batch.column(1), "n": pa.array(n, pa.int64()), "best": pa.array([max([0.0, *f]) for f in found], pa.float64()), "found": pa.array(found, pa.list_(pa.float64())), "counts": pa.array(counts, pa.list_(pa.int64()))})
 
@@ -227,7 +237,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel, passages: bool)
     for batch in batches:
         ids, out, spans = batch.column(0), [], []
         for text in as_bytes(batch.column(1)):
-            kept, best, total = model.evidence(word_scores(text.lower().split(), known))
+            words = text.lower().split()
+            kept, best, total = model.evidence(words, word_scores(words, known))
             out.append(model.probability(best, total))
             spans.append([{"start": a, "end": b, "bits": float(x)} for a, b, x in kept])
         columns = {"id": ids, "score": pa.array(out, pa.float64())}

@@ -230,6 +230,24 @@ def test_toxicity(spark, stored):
     assert t.score_toxicity(stored([], SCHEMA, "none"), labels).count() == 0
 
 
+def test_same_toxic_passage_at_two_places():
+    model = t.ToxicModel({"scum": 5.0, "trash": 5.0, "moron": 5.0}, 1.0, 0.1, (-4.0, 0.5, 1.0))
+    clean, bad = [f"w{i}".encode() for i in range(400)], [b"scum", b"trash", b"moron"]
+    known = t.WordScores(model.table)
+    words = clean[:100] + bad + clean[100:300] + bad + clean[300:]
+    kept, best, total = model.evidence(words, t.word_scores(words, known))
+    assert [(a, b) for a, b, _ in kept] == [(100, 103), (303, 306)] and kept[0][2] == kept[1][2] == best
+    # Words that occurred before, far apart, are a passage where they meet.
+    words = [b"scum", *clean[:100], b"trash", *clean[100:200], b"moron", *clean[200:300], *bad]
+    assert (303, 306) in [(a, b) for a, b, _ in model.evidence(words, t.word_scores(words, known))[0]]
+    # One word over and over is no more evidence than once.
+    once, often = ([b"scum"] * n + clean for n in (1, 50))
+    assert t.discounted(often, t.word_scores(often, known))[0][2] == t.discounted(once, t.word_scores(once, known))[0][2] == 5
+    # Close together they are one passage, and no less significant than one of them.
+    words = bad + clean[:5] + bad
+    assert [(a, b) for a, b, _ in model.evidence(words, t.word_scores(words, known))[0]] == [(0, 11)]
+
+
 def test_pipeline_stages(spark):
     """Each stage's rows are those of the stage before that it keeps; the bins hold all words of the mix."""
     docs = corpus_pipeline.table(spark, SF, "documents")
