@@ -17,18 +17,18 @@ def sig_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_samples(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
 
 
+def sig_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One signal an event type, whole: event values in order of time."""
+    return number_samples(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value")
+
+
 def sig_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(signal_id, channel, i, x): one channel an event type, cut to the shortest."""
-    rows = number_samples(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value").withColumnRenamed(KEY, "channel")
+    rows = sig_type(spark, sf_dir).withColumnRenamed(KEY, "channel")
     shortest = rows.groupBy("channel").agg(F.max("i").alias("m")).agg(F.min("m").alias("m"))
     return rows.crossJoin(F.broadcast(shortest)).where("i <= m").select(F.lit(0).cast("long").alias(KEY), "channel", "i", "x")
 
 
-def sig_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The channels as signals of their own."""
-    return sig_channel(spark, sf_dir).select(F.col("channel").alias(KEY), "i", "x")
-
-
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, v, label) of the embeddings, as doubles."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from pulsegrid.plans import oracles
+from pulsegrid.plans import oracles, views
 from pulsegrid.plans.queries import QUERIES
 
 from .conftest import SF
@@ -47,3 +47,9 @@ def test_runs(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracles.SQL) <= set(QUERIES)
+
+
+def test_signals_of_event_types_are_whole(spark, duck):
+    want = dict(duck.execute("select event_type, count(value) from events group by event_type").fetchall())
+    got = {r["signal_id"]: r["count"] for r in views.sig_type(spark, SF).groupBy("signal_id").count().collect()}
+    assert got == want and len(set(want.values())) > 1
