@@ -148,7 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_clusters": lambda k, d: c.merge_clusters(v.waves(k, d).select("row_id", (F.col("label") - 1).alias("cluster"))),
     "hierarchical": lambda k, d: c.hierarchical(v.waves(k, d), 4, "average"),
     "coassoc_partition": lambda k, d: c.coassoc_partition(c.create_coassoc(_ensemble(k, d)), 3),
-    "kmeans": lambda k, d: c.kmeans(v.waves(k, d), 10, n_init=2),
+    "kmeans": lambda k, d: c.kmeans(v.waves(k, d), 10),
     # Biometrics.
     "knn_authenticate": lambda k, d: bio.knn_authenticate(bio.ranked(*_knn(k, d)[:2], digits=6), _knn(k, d)[2]),
     "knn_identify": lambda k, d: bio.knn_identify(bio.ranked(*_knn(k, d)[:2], digits=6), _knn(k, d)[2]),

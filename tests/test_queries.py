@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from pulsegrid.operators import clusters
 from pulsegrid.plans import oracles, views
 from pulsegrid.plans.queries import QUERIES
 
@@ -53,3 +54,10 @@ def test_signals_of_event_types_are_whole(spark, duck):
     want = dict(duck.execute("select event_type, count(value) from events group by event_type").fetchall())
     got = {r["signal_id"]: r["count"] for r in views.sig_type(spark, SF).groupBy("signal_id").count().collect()}
     assert got == want and len(set(want.values())) > 1
+
+
+def test_kmeans_query_has_all_starts(spark, monkeypatch):
+    fits, fit = [], clusters.KMeans.fit
+    monkeypatch.setattr(clusters.KMeans, "fit", lambda self, data: fits.append(self.getSeed()) or fit(self, data))
+    QUERIES["kmeans"](spark, SF)
+    assert len(set(fits)) == 10
