@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.signal import KEY, find_extrema, number_samples, smoother_boxcar
+from ..sources import synthetic
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,12 @@ def sig_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(shortest)).where("i <= m").select(F.lit(0).cast("long").alias(KEY), "channel", "i", "x")
 
 
+def recordings(spark: SparkSession, sf_dir: str, sampling_rate: float = 1000.0) -> DataFrame:
+    """One synthetic electrocardiogram a user, of as many beats as the user has events."""
+    users = table(spark, sf_dir, "events").where("user_id is not null").groupBy(F.col("user_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("beats"))
+    return synthetic.ecg_trains(users, sampling_rate)
+
+
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, v, label) of the embeddings, as doubles."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")

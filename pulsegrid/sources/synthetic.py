@@ -58,13 +58,18 @@ def beat(sampling_rate: float = 1000.0, var: float = 0.01, seed: int = 0, **para
 
 def ecg_table(spark: SparkSession, signals: int = 4, beats: int = 20, sampling_rate: float = 1000.0, var: float = 0.01, seed: int = 0) -> DataFrame:
     """(signal_id, i, x): trains of beats, each signal made by its own task from its own seed."""
+    return ecg_trains(spark.range(signals).select("id", F.lit(beats).cast("long").alias("beats")), sampling_rate, var, seed)
+
+
+def ecg_trains(trains: DataFrame, sampling_rate: float = 1000.0, var: float = 0.01, seed: int = 0) -> DataFrame:
+    """(signal_id, i, x): for each (id, beats) a train of so many beats, made from a seed of its own."""
 
     def make(batches):
         import pandas as pd
 
         for b in batches:
-            for s in b["id"]:
+            for s, beats in zip(b["id"], b["beats"], strict=True):
                 x = np.concatenate([beat(sampling_rate, var, seed + 10_000 * int(s) + j)[0] for j in range(beats)])
                 yield pd.DataFrame({"signal_id": s, "i": np.arange(len(x)), "x": x})
 
-    return spark.range(signals).select(F.col("id")).mapInPandas(make, "signal_id long, i long, x double")
+    return trains.select("id", "beats").mapInPandas(make, "signal_id long, i long, x double")

@@ -61,3 +61,13 @@ def test_kmeans_query_has_all_starts(spark, monkeypatch):
     monkeypatch.setattr(clusters.KMeans, "fit", lambda self, data: fits.append(self.getSeed()) or fit(self, data))
     QUERIES["kmeans"](spark, SF)
     assert len(set(fits)) == 10
+
+
+def test_recordings_follow_the_events(spark, duck):
+    users = dict(duck.execute("select user_id, count(*) from events group by user_id").fetchall())
+    n = {r["signal_id"]: r["count"] for r in views.recordings(spark, SF, 250.0).groupBy("signal_id").count().collect()}
+    assert n.keys() == users.keys()
+    # A beat at 250 Hz has about 200 samples.
+    assert all(150 < n[k] / users[k] < 260 for k in users)
+    found = {r["signal_id"] for r in QUERIES["detect_hamilton"](spark, SF).select("signal_id").distinct().collect()}
+    assert found == users.keys()
