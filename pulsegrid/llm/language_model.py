@@ -227,11 +227,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     training = rows.where(fold("id", FOLDS) != HELD_OUT)
     counts = cut(corpus_counts(training.select("text")))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     hashed = counts.groupBy(F.pmod(F.crc32("word"), F.lit(hashed_ids(totals["v"]))).alias("h")).agg(F.sum(F.col("c") + 1).alias("c")).collect()
     shared = np.zeros(hashed_ids(totals["v"]))
     shared[[r["h"] for r in hashed]] = [r["c"] for r in hashed]
-    vocabulary = Vocabulary([bytes(r["word"]) for r in head], np.array([r["c"] for r in head], np.float64), totals["n"], totals["v"], shared)
+    vocabulary = Vocabulary(head["word"].to_pylist(), head["c"].to_numpy().astype(np.float64), totals["n"], totals["v"], shared)
     weights = train(training, vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
     parts = cut(rows.mapInArrow(partial(_score, vocabulary=vocabulary, weights=weights), f"row long, id {kind}, word binary, n long, n_known long, base double, score double"))
