@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_ROWS, compact, cut, hot_limit, join_groups, with_row_id
-from .components import small_or_large
+from .common import PLACE, cut, forget, hot_limit, join_groups, place_name, placed, unplaced, with_row_id
+from .components import components
 from .words import WordHashes, as_bytes, bags, hash_words, mix, portions, shingles, split_words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -23,8 +23,8 @@ LEAST_AGREE = int(PLACES * (SIMILAR - 4.5 * (SIMILAR * (1 - SIMILAR) / PLACES) *
 #: Rounds of links to bucket centres; after them every open pair is compared.
 ROUNDS = 2
 BLOCK = 2_048
-#: So many row numbers at most are broadcast, 8 bytes each.
-MAX_BROADCAST_ROWS = 2_000_000
+#: Rows that are named to all executors are so many bytes at most; more are joined by a shuffle.
+MAX_BROADCAST = 32 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,9 +77,10 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (__file, __at, id, text): the same without the text, with a hash of its words, its signature and its bands."""
     hashes = WordHashes()
     for batch in batches:
-        rows, ids, texts = batch.column(0), batch.column(1), as_bytes(batch.column(2))
+        texts = as_bytes(batch.column(3))
         sizes = np.array([len(t) for t in texts])
         # Texts of like size go together: short ones need many rounds, which are cheap over many of them.
         order = np.argsort(sizes, kind="stable")
@@ -94,9 +95,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signed = bag_minhash(s, weight, place[text], len(some))
             keys, at = band_keys(signed), {int(i): k for k, i in enumerate(some)}
             yield pa.RecordBatch.from_pydict(
-                {
-                    "row": rows.take(pa.array(chosen)),
-                    "id": ids.take(pa.array(chosen)),
+                {c: batch.column(k).take(pa.array(chosen)) for k, c in enumerate((*PLACE, "id"))}
+                | {
                     "words": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
                     "signature": pa.array([signed[at[i]].astype(np.uint16).tobytes() if i in at else b"" for i in range(len(n))], pa.binary()),
                     "bands": pa.array([keys[at[i]] if i in at else np.zeros(0, np.int64) for i in range(len(n))], pa.list_(pa.int64())),
@@ -139,20 +139,22 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in good], pa.int64()), "b": pa.array([b[i] for i in good], pa.int64())})
 
 
-def _beside(few: DataFrame, many: DataFrame, key: str, rows: int) -> DataFrame:
-    """few joined with the rows of many that it names; few is broadcast if it has not many rows, so that many isn't shuffled."""
+def _beside(few: DataFrame, many: DataFrame, key: str, size: int) -> DataFrame:
+    """few, of that many bytes, joined with the rows of many that it names; a small one is broadcast, so that many isn't shuffled."""
     named = few.withColumnRenamed(key, "__named")
-    return many.join(F.broadcast(named) if rows <= MAX_BROADCAST_ROWS else named, many["row"] == F.col("__named")).withColumnRenamed("__named", key)
+    return many.join(F.broadcast(named) if size <= MAX_BROADCAST else named, many["row"] == F.col("__named")).withColumnRenamed("__named", key)
 
 
 def _verified(pairs: DataFrame, bag_rows: DataFrame, least: float, limit: int) -> DataFrame:
     """The pairs (a, b) that are similar; a centre that many pairs name is joined without a hot task."""
     pairs = cut(pairs)
-    rows = pairs.count()
+    size = 32 * pairs.count()
     named = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("__n"))
-    of_b = _beside(named, bag_rows, "b", rows).select("b", "__n", F.col("bag").alias("y"))
-    with_a = _beside(pairs, bag_rows, "a", rows).select("a", "b", F.col("bag").alias("x"))
-    return cut(join_groups(with_a, of_b, "b", "__n", limit).select("a", "b", "x", "y").mapInArrow(partial(_verify, least=least), "a long, b long"))
+    of_b = _beside(named, bag_rows, "b", size).select("b", "__n", F.col("bag").alias("y"))
+    with_a = _beside(pairs, bag_rows, "a", size).select("a", "b", F.col("bag").alias("x"))
+    found = cut(join_groups(with_a, of_b, "b", "__n", limit).select("a", "b", "x", "y").mapInArrow(partial(_verify, least=least), "a long, b long"))
+    forget(pairs)
+    return found
 
 
 def _near(root: np.ndarray, side: np.ndarray, row: np.ndarray, band: int, signature: np.ndarray, bands: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -229,13 +231,15 @@ def _open_links(members: DataFrame, signed: DataFrame, bag_rows: DataFrame, leas
         else concat(
             transform(sequence(0, kb - 1), j -> struct('o' as kind, least(j, own) as x, greatest(j, own) as y, case when j = own then 2 when own < j then 0 else 1 end as side)),
             transform(sequence(0, km - 1), j -> struct('m' as kind, own as x, j as y, 0 as side))) end""")
-    placed = cut(rows.withColumn("p", F.explode(places)).select(F.xxhash64("key", "p.kind", "p.x", "p.y").alias("place"), F.col("row").alias("id"), "root", "p.side", "band"))
+    dealt = cut(rows.withColumn("p", F.explode(places)).select(F.xxhash64("key", "p.kind", "p.x", "p.y").alias("place"), F.col("row").alias("id"), "root", "p.side", "band"))
     columns = ["place", F.col("id").alias("row"), "root", "side", "band", "signature", "bands"]
-    first = _beside(placed, signed.select("row", "signature", "bands"), "id", placed.count()).select(*columns)
+    first = _beside(dealt, signed.select("row", "signature", "bands"), "id", 56 * dealt.count()).select(*columns)
     kinds = "place long, row long, root long, side int, band int, signature binary, bands array<bigint>"
     near = cut(first.repartition("place").sortWithinPartitions("place").mapInArrow(_compare, kinds)).withColumnRenamed("row", "id")
-    again = _beside(near, bag_rows, "id", near.count()).select("place", F.col("id").alias("row"), "root", "side", "band", "signature", "bands", "bag")
-    return cut(again.repartition("place").sortWithinPartitions("place").mapInArrow(partial(_confirm, least=least), "a long, b long"))
+    again = _beside(near, bag_rows, "id", (100 + 2 * PLACES + 8 * BANDS) * near.count()).select("place", F.col("id").alias("row"), "root", "side", "band", "signature", "bands", "bag")
+    found = cut(again.repartition("place").sortWithinPartitions("place").mapInArrow(partial(_confirm, least=least), "a long, b long"))
+    forget(dealt)
+    return found
 
 
 def similar_links(signed: DataFrame, bag_rows: DataFrame, members: DataFrame, least: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame | None:
@@ -245,74 +249,68 @@ def similar_links(signed: DataFrame, bag_rows: DataFrame, members: DataFrame, le
     already. What stays unlinked in a bucket after that is compared pair by pair.
     """
     links = roots = None
-    rows = members.count()
-    limit = hot_limit(rows)
+    limit = hot_limit(members.count())
     for r in range(rounds + 1):
-        members = compact(members, rows)
-        rooted = members.withColumn("root", F.col("row")) if roots is None else members.join(roots, members["row"] == roots["id"], "left").withColumn("root", F.coalesce("root", "row")).drop("id")
-        rooted = compact(cut(rooted), rows) if roots is not None else rooted
+        rooted = members.withColumn("root", F.col("row")) if roots is None else cut(members.join(roots, members["row"] == roots["id"], "left").withColumn("root", F.coalesce("root", "row")).drop("id"))
         turn = F.col("row") if r == 0 else F.xxhash64("row", F.lit(r))
         buckets = rooted.groupBy("key").agg(
             F.min_by(F.struct("row", "root"), turn).alias("centre"), F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")
         ).where("lo <> hi")
         buckets = buckets.select("key", "n", F.col("centre.row").alias("centre"), F.col("centre.root").alias("main_root"))
-        # Within one partition no key can be too hot.
-        open_ = cut(rooted.join(buckets, "key") if rows <= FEW_ROWS else join_groups(rooted, buckets, "key", "n", limit).where("n is not null"))
-        rows = open_.count()
-        if not rows:
+        open_ = cut(join_groups(rooted, buckets, "key", "n", limit).where("n is not null"))
+        if open_.isEmpty():
             break
-        open_ = compact(open_, rows)
         members = open_.select("row", "band", "key")
         if r < rounds:
             pairs = open_.where("root <> main_root").select(F.col("row").alias("a"), F.col("centre").alias("b")).distinct()
             found = _verified(pairs, bag_rows, least, limit)
         else:
             others = open_.groupBy("key", F.col("n").alias("__n")).agg(F.count_if(F.col("root") != F.col("main_root")).alias("others"))
-            found = _open_links(open_.join(others.drop("__n"), "key") if rows <= FEW_ROWS else join_groups(open_, others, "key", "__n", limit), signed, bag_rows, least)
+            found = _open_links(join_groups(open_, others, "key", "__n", limit), signed, bag_rows, least)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            roots = cut(small_or_large(cut(links)))
-            roots = compact(roots, roots.count())
+            roots = cut(components(cut(links)))
             links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b")
     return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, kept and __row, its number in the scan.
+    """One row per document: doc_id, class_id, class_size, kept, and its place (__file, __at).
 
     A class is linked by pairs whose bags of five-word shingles (words with A-Z lower-cased; a text of
     one to four words is one shingle) have a weighted Jaccard similarity of `least` or more, over
     any path. Its largest doc_id, null being the smallest, stays and names the class. Texts without words, null
     ones too, form a class. Repeated rows and other columns are fine; an empty table gives no rows.
 
-    Texts of the same words are one text from the start. docs must be a scan of stored files: the
-    texts of documents that share a bucket are read a second time.
+    Texts of the same words are one text from the start. Texts of documents that share a bucket are read a second time.
+    Texts of any length are taken whole. Of rows with the same largest id, the last by the numbers given here stays.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = placed(docs)
+    text = F.coalesce(F.col(place_name(docs, text_col)), F.lit("")).alias("text")
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = with_row_id(docs.select(F.col(id_col).alias("id"), text.alias("text"))).select("__row", "id", "text")
-    signed = cut(whole.mapInArrow(_sign, f"row long, id {kind}, words binary, signature binary, bands array<bigint>"))
+    texts = whole.select(*PLACE, F.col(place_name(docs, id_col)).alias("id"), text)
+    signed = cut(with_row_id(texts.mapInArrow(_sign, f"__file long, __at long, id {kind}, words binary, signature binary, bands array<bigint>"), "row"))
     limit = hot_limit(signed.count())
     same = cut(signed.groupBy("words").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = cut(signed.select("row", "bands").join(same.select("rep"), F.col("row") == F.col("rep"), "left_semi"))
     banded = reps.select("row", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(join_groups(banded, shared, "key", "n", limit).where("n is not null").select("row", "band", "key"))
-    needed = cut(members.select("row").distinct())
-    few = needed.count() <= MAX_BROADCAST_ROWS
-    texts = whole.join(F.broadcast(needed) if few else needed, F.col("__row") == F.col("row"), "left_semi").select("__row", "text")
-    bag_rows = cut(texts.mapInArrow(_bag_of, "row long, bag binary"))
+    needed = cut(signed.select("row", *PLACE).join(members.select("row").distinct(), "row", "left_semi"))
+    few = 48 * needed.count() <= MAX_BROADCAST
+    bag_rows = cut(texts.join(F.broadcast(needed) if few else needed, PLACE).select("row", "text").mapInArrow(_bag_of, "row long, bag binary"))
     roots = similar_links(signed, bag_rows, members, least)
     classes = same.withColumn("root", F.col("rep")) if roots is None else same.join(roots, same["rep"] == roots["id"], "left").withColumn("root", F.coalesce("root", "rep")).drop("id")
-    rooted = cut(join_groups(signed.select("row", "id", "words"), classes.select("words", "copies", "root"), "words", "copies", limit).select("row", "id", "root"))
+    rooted = cut(join_groups(signed.select("row", "id", "words", *PLACE), classes.select("words", "copies", "root"), "words", "copies", limit).select("row", "id", "root", *PLACE))
+    forget(signed, same, reps, members, needed, bag_rows)
     groups = rooted.groupBy("root").agg(F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("class_size"))
     joined = join_groups(rooted, groups, "root", "class_size", limit)
-    return joined.select(F.col("id").alias("doc_id"), F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("row").alias("__row"))
+    return joined.select(F.col("id").alias("doc_id"), F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"), *PLACE)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """The documents that near_duplicates keeps, with all their columns."""
-    lost = near_duplicates(docs, id_col, text_col, least).where("not kept").select("__row")
-    lost = cut(lost)
-    few = lost.count() <= MAX_BROADCAST_ROWS
-    return with_row_id(docs).join(F.broadcast(lost) if few else lost, "__row", "left_anti").select(*docs.columns)
+    whole = placed(docs)
+    lost = cut(near_duplicates(whole, place_name(docs, id_col), place_name(docs, text_col), least).where("not kept").select(*PLACE))
+    few = 48 * lost.count() <= MAX_BROADCAST
+    return unplaced(whole.join(F.broadcast(lost) if few else lost, PLACE, "left_anti"), docs.columns)

@@ -38,23 +38,56 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
 
 
-#: A stored table of up to so many slim rows is read as one partition, so that what follows needs no shuffle.
-FEW_ROWS = 200_000
-
-
-def compact(df: DataFrame, rows: int) -> DataFrame:
-    """A stored table that is known to have so many rows, in fewer partitions if they are few."""
-    return df.coalesce(1) if rows <= FEW_ROWS else df
+def forget(*stored: DataFrame | None) -> None:
+    """Deletes what cut wrote, once nothing that is still to be computed reads it."""
+    for df in stored:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_row_id(df: DataFrame, name: str = "__row") -> DataFrame:
-    """Numbers the rows of a table scan; a second scan of the same files gives the same numbers."""
+    """Numbers the rows. Another scan, or another number of cores, gives other numbers: store them, and scan by `place`."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: The columns that name a stored row alike in every scan: a hash of its file's path, and its number in the file.
+PLACE = ["__file", "__at"]
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is files, columns and filters only, so that each row is one stored row."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df with PLACE, and its other columns under the names c0, c1 and so on, which can't clash with an operator's own.
+
+    What isn't a scan of files is stored first.
+    """
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    plain = plain if _is_scan(df) and "_metadata" not in df.columns else cut(plain)
+    return plain.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+
+
+def place_name(df: DataFrame, column: str) -> str:
+    """What placed(df) calls a column."""
+    return f"c{df.columns.index(column)}"
+
+
+def unplaced(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of a placed table by their own names again."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import FEW_ROWS, compact, cut, hot_limit, join_groups
+from .common import cut, forget, hot_limit, join_groups
 
 MAX_ROUNDS = 60
 
@@ -20,34 +16,6 @@ def _least(edges: DataFrame, rows: int) -> DataFrame:
     return join_groups(edges, least, "u", "__n", hot_limit(rows)).drop("__n")
 
 
-def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All links of a small table: each id's root, by halving paths."""
-    got = list(batches)
-    a, b = (np.concatenate([np.asarray(x.column(i)) for x in got] or [np.zeros(0, np.int64)]) for i in (0, 1))
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    up = np.arange(len(ids))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-        x, y = root(x), root(y)
-        up[max(x, y)] = min(x, y)
-    while (up != up[up]).any():
-        up = up[up]
-    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "root": pa.array(ids[up] if len(ids) else ids, pa.int64())})
-
-
-def small_or_large(links: DataFrame) -> DataFrame:
-    """components(), in one Arrow task for up to FEW_ROWS stored links, some 3 MB; distributed for more."""
-    if links.count() > FEW_ROWS:
-        return components(links)
-    return links.select("a", "b").coalesce(1).mapInArrow(_join_up, "id long, root long")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in links (a, b): root is the least id that it is linked to, over any path.
 
@@ -58,14 +26,14 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     for _ in range(MAX_ROUNDS):
         rows = state["n"]
-        edges = compact(edges, rows)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least(large, rows)
+        before, old = state, edges
         edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        before, state = state, _state(edges)
+        forget(old)
+        state = _state(edges)
         if before == state:
-            edges = compact(edges, state["n"])
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
     raise RuntimeError("components did not settle")

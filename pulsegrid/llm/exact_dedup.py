@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, hot_limit, join_groups, with_row_id
+from .common import PLACE, ascii_lower, cut, hot_limit, join_groups, place_name, placed, unplaced, with_row_id
 
 #: One filter block is a long of 15 counters of 4 bits; the low bit of each.
 COUNTERS, LOW_BITS = 15, 0x111111111111111
 #: More blocks than this aren't broadcast: 2 million rows of two longs, some 64 MB.
 MAX_BROADCAST_BLOCKS = 2_000_000
+#: Up to so many rows that go are named to all executors, 32 MB.
+MAX_BROADCAST_LOST = 1_000_000
 
 
 def _blocks(rows: int) -> int:
@@ -45,12 +47,12 @@ def may_repeat(rows: DataFrame, key: str, twice: DataFrame, blocks: int, max_bro
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST_BLOCKS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 and __row, its number in the scan.
+    """One row per document: doc_id, keep_id, group_size, kept and text_sha256.
 
     Equal are texts that are identical after lower-casing A-Z; a null text counts as empty, so
     empty and null texts form one group. The largest id of a group stays; a null id counts as
-    the smallest. Of rows repeated with the same id, one stays. Other columns are ignored, an
-    empty table gives no rows.
+    the smallest. Of rows repeated with the same id, one stays. Texts of any length are hashed whole; other columns
+    are ignored, an empty table gives no rows.
     """
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     hashed = cut(with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))))
@@ -72,25 +74,24 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("__row") == F.col("__best"))).alias("kept"),
         "text_sha256",
-        "__row",
     )
-    straight = probed.where("not __again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "__row")
+    straight = probed.where("not __again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return straight.unionByName(of_groups)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST_BLOCKS) -> DataFrame:
     """The rows that stay, with all their columns, under the rules of find_copies.
 
-    docs must be a scan of stored files, as it is read twice. Rows whose hash can't repeat pass
-    straight through; only possible repeats shuffle.
+    Hashes and places of rows are stored; which rows go is found among the possible repeats of those alone. So texts are
+    only read, unless more rows go than can be named to all executors.
     """
-    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    whole = with_row_id(docs.withColumn("__sha", F.unhex(F.sha2(text, 256))))
-    slim = cut(whole.select(F.col(id_col).alias("__id"), "__sha", "__row"))
-    blocks = _blocks(slim.count())
-    twice = seen_twice(slim, "__sha", blocks)
-    again = may_repeat(slim, "__sha", twice, blocks, max_broadcast).where("__again")
-    best = again.groupBy("__sha").agg(F.max(F.struct("__id", "__row")).getField("__row").alias("__row")).select("__row")
-    probed = may_repeat(whole, "__sha", twice, blocks, max_broadcast)
-    stay = probed.where("__again").join(best, "__row", "left_semi")
-    return probed.where("not __again").select(*docs.columns).unionByName(stay.select(*docs.columns))
+    whole = placed(docs)
+    text = ascii_lower(F.coalesce(F.col(place_name(docs, text_col)), F.lit("")))
+    slim = cut(with_row_id(whole.select(*PLACE, F.col(place_name(docs, id_col)).alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"))))
+    rows = slim.count()
+    blocks = _blocks(rows)
+    again = cut(may_repeat(slim, "sha", seen_twice(slim, "sha", blocks), blocks, max_broadcast).where("__again").drop("__again"))
+    best = again.groupBy("sha").agg(F.max(F.struct("id", "__row")).getField("__row").alias("best"), F.count(F.lit(1)).alias("n"))
+    lost = cut(join_groups(again, best.where("n > 1"), "sha", "n", hot_limit(rows)).where("__row <> best").select(*PLACE))
+    few = lost.count() <= MAX_BROADCAST_LOST
+    return unplaced(whole.join(F.broadcast(lost) if few else lost, PLACE, "left_anti"), docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, with_row_id
+from .common import PLACE, WORD, cut, place_name, placed, unplaced
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_REPEATS = 1.5, 2
@@ -72,13 +72,14 @@ def plan_mix(
 
     Words are runs of non-space; a null or empty text has none and is taken 0 times. Each source's
     documents are dealt to shards of about docs_per_shard by a seeded hash, so a hot source has many;
-    within a shard they lie end to end in hash order (ties by id, then by row), cut into blocks of
+    within a shard they lie end to end in hash order (ties by id, then by place), cut into blocks of
     about block_tokens equal to within a word. Sainte-Lague deals the target's blocks to sources,
     and each source's to its shards; a seeded walk over a shard's blocks takes that many, each at
     most twice. Null ids, repeated rows and an empty table are fine; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sizes = cut(with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))))
+    name = lambda c: F.col(place_name(docs, c))
+    size = F.regexp_count(F.coalesce(name(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    sizes = cut(placed(docs).select(*PLACE, name(id_col).alias("doc_id"), name(source_col).alias("source"), size.alias("size")))
     sources = source_targets(sizes).withColumn("__k", F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block_tokens).cast("long"))
     sources = cut(apportion(sources, "target", "__k", "rank", [], "blocks").drop("__k").withColumn("shards", F.ceil(F.col("docs") / docs_per_shard)))
     few = sources.count() <= MAX_BROADCAST_SOURCES
@@ -88,14 +89,14 @@ def plan_mix(
         .withColumn("shard", F.pmod(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"), F.col("shards")))
     )
     shard = Window.partitionBy("rank", "shard")
-    laid = dealt.withColumn("end", F.sum("size").over(shard.orderBy("hash", "doc_id", "__row").rowsBetween(Window.unboundedPreceding, 0)))
-    laid = cut(laid.select("doc_id", "__row", "size", "source_size", "target", "rank", "shard", "blocks", "end"))
+    laid = dealt.withColumn("end", F.sum("size").over(shard.orderBy("hash", "doc_id", *PLACE).rowsBetween(Window.unboundedPreceding, 0)))
+    laid = cut(laid.select("doc_id", *PLACE, "size", "source_size", "target", "rank", "shard", "blocks", "end"))
     shards = laid.groupBy("rank", "shard", "blocks").agg(F.sum("size").alias("words"))
     won = apportion(shards, "words", "blocks", "shard", ["rank"], "seats").where("words > 0")
     quotas = won.withColumn("cuts", F.greatest(F.lit(1), F.round(F.col("words") / block_tokens)).cast("long")).withColumn("seats", F.least("seats", MAX_REPEATS * F.col("cuts")))
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rank", "shard")), 1, 7), 16, 10).cast("long")
     quotas = quotas.select("rank", "shard", "words", "cuts", F.expr("seats div cuts").alias("whole"), F.expr("seats % cuts").alias("more"), start.alias("start"))
-    placed = laid.join(quotas, ["rank", "shard"], "left").withColumn("begin", F.col("end") - F.col("size"))
+    dealt_out = laid.join(quotas, ["rank", "shard"], "left").withColumn("begin", F.col("end") - F.col("size"))
     pieces = F.expr("""
         case when size > 0 and words > 0 then transform(
             sequence(((begin + 1) * cuts - 1) div words, (end * cuts - 1) div words),
@@ -105,23 +106,25 @@ def plan_mix(
                 whole + if(pmod(STEP * b + start, cuts) < more, 1L, 0L) as times))
         end""".replace("STEP", f"{STEP}L"))
     taken = F.expr("coalesce(aggregate(pieces, 0L, (sum, p) -> sum + p.n * p.times), 0L)")
-    return placed.withColumn("pieces", pieces).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces", "__row")
+    return dealt_out.withColumn("pieces", pieces).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces", *PLACE)
 
 
-def mix_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself, with the columns of docs, which must be a scan of stored files.
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself, with the columns of docs.
 
     A document comes once with the words that are taken at least once, and once more with those
-    taken twice; its text is kept to the letter between the words that stay together.
+    taken twice; its text, of any length, is kept to the letter between the words that stay together.
     """
-    plan = plan_mix(docs, text_col=text_col, **options).where("taken > 0").select("pieces", "__row")
-    whole = with_row_id(docs).join(plan, "__row")
+    whole = placed(docs)
+    text = place_name(docs, text_col)
+    plan = plan_mix(whole, place_name(docs, id_col), text, place_name(docs, source_col), **options).where("taken > 0").select("pieces", *PLACE)
+    whole = whole.join(plan, PLACE)
     rounds = whole.withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(MAX_REPEATS)))).where("exists(pieces, p -> p.times >= __round)")
-    words = f"split({text_col}, '(?<=[\\\\x09-\\\\x0D\\\\x20])(?=[^\\\\x09-\\\\x0D\\\\x20])')"
+    words = f"split({text}, '(?<=[\\\\x09-\\\\x0D\\\\x20])(?=[^\\\\x09-\\\\x0D\\\\x20])')"
     cut_out = f"""
-        case when forall(pieces, p -> p.times >= __round) then {text_col}
+        case when forall(pieces, p -> p.times >= __round) then {text}
         else array_join(transform(filter(pieces, p -> p.times >= __round),
             p -> array_join(slice(__words, cast(p.at + 1 + __lead as int), cast(p.n as int)), '')), '') end"""
-    lead = f"if({text_col} rlike '^[\\\\x09-\\\\x0D\\\\x20]', 1, 0)"
-    out = rounds.withColumn("__words", F.expr(words)).withColumn("__lead", F.expr(lead)).withColumn("__text", F.expr(cut_out))
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    lead = f"if({text} rlike '^[\\\\x09-\\\\x0D\\\\x20]', 1, 0)"
+    out = rounds.withColumn("__words", F.expr(words)).withColumn("__lead", F.expr(lead)).withColumn(text, F.expr(cut_out))
+    return unplaced(out, docs.columns)

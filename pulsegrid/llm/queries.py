@@ -50,7 +50,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bagminhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("__row")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("__file", "__at")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +62,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fuzzy_lines import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents")).drop("__row")
+    return dedup_lines(table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import find_copies
 
-    return find_copies(table(spark, sf_dir, "documents")).drop("__row")
+    return find_copies(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

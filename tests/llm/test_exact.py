@@ -28,7 +28,7 @@ def lower(t):
 @pytest.mark.parametrize("most", [0, 10**6])
 def test_find_copies(stored, most):
     rows = [*rows_of(TEXTS), (None, "the same", None, None, 0, 0), (3, "a B", "en", "x", 0, 0)]
-    got = e.find_copies(stored(rows, SCHEMA), max_broadcast=most).drop("__row").collect()
+    got = e.find_copies(stored(rows, SCHEMA), max_broadcast=most).collect()
     groups = defaultdict(list)
     for r in rows:
         groups[lower(r[1])].append(r[0])
@@ -173,3 +173,30 @@ def test_hot_groups_join_whole(spark):
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("best")).where("key % 2 = 0")
     out = join_groups(rows, groups, "key", "n", 100)
     assert out.count() == 3000 and out.where("key = 0 and best = 1499").count() == 1500 and out.where("best is null").count() == 750
+
+
+def test_rows_have_the_same_place_in_every_scan(spark, stored):
+    from pulsegrid.llm.common import place_name, placed
+
+    docs = stored([(i, str(i), None, None, i, i) for i in range(3000)], SCHEMA)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        seen.append({(r["__file"], r["__at"]): r["c0"] for r in placed(docs).collect()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] and len(seen[0]) == 3000 and place_name(docs, "text") == "c1"
+    assert placed(docs.join(docs.select("doc_id"), "doc_id")).count() == 3000  # not a scan: stored first
+
+
+def test_clashing_names(spark, stored):
+    """Columns of the names that operators use within."""
+    schema = "doc_id long, text string, source string, __file long, __at long, c0 string, `__row` int, sha string, id int, _metadata string"
+    rows = [(i, f"word{i % 5} and some more words here {i % 5}", "s", 1, 2, "x", 3, "y", i, "m") for i in range(20)]
+    docs = stored(rows, schema)
+    from pulsegrid.llm import bagminhash as b
+    from pulsegrid.llm import fuzzy_lines as fl
+
+    assert e.find_copies(docs).count() == 20
+    for out, n in ((e.drop_copies(docs), 5), (b.drop_near_duplicates(docs), 5), (m.mix_documents(docs), None), (fl.drop_repeated_lines(docs), 20)):
+        assert out.columns == docs.columns and (n is None or out.count() == n)
