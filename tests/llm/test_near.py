@@ -68,13 +68,11 @@ def brute_classes(rows, least):
     return {frozenset(g) for g in out.values()}
 
 
-@pytest.mark.parametrize("few,rounds", [(200_000, b.ROUNDS), (0, 0)])
-def test_near_duplicates(stored, monkeypatch, few, rounds):
-    """With few = 0 the distributed components and shuffles do the work, with no rounds every pair is compared."""
+@pytest.mark.parametrize("most,rounds", [(b.MAX_BROADCAST, b.ROUNDS), (0, 0)])
+def test_near_duplicates(stored, monkeypatch, most, rounds):
+    """With most = 0 nothing is broadcast, with no rounds every pair is compared."""
     rows = corpus()
-    for module in (b, c):
-        monkeypatch.setattr(module, "FEW_ROWS", few)
-    monkeypatch.setattr(b, "MAX_BROADCAST_ROWS", few)
+    monkeypatch.setattr(b, "MAX_BROADCAST", most)
     monkeypatch.setattr(b, "ROUNDS", rounds)
     monkeypatch.setattr(b.similar_links, "__defaults__", (b.SIMILAR, rounds))
     got = b.near_duplicates(stored(rows, SCHEMA)).collect()
@@ -107,12 +105,10 @@ def test_signatures_estimate_weighted_similarity():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.025
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_components(spark, monkeypatch, few):
-    monkeypatch.setattr(c, "FEW_ROWS", few)
+def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(40)] + [(200, i) for i in range(201, 260)]
-    got = {x["id"]: x["root"] for x in c.small_or_large(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x["id"]: x["root"] for x in c.components(spark.createDataFrame(links, "a long, b long")).collect()}
     up = {i: i for e in links for i in e}
 
     def root(i):
@@ -165,17 +161,6 @@ def test_fuzzy_lines(stored):
     assert fl.dedup_lines(stored([], SCHEMA, "none")).count() == 0
 
 
-def test_simhash_of_every_length(spark):
-    from pyspark.sql import functions as F
-
-    r = random.Random(2)
-    for n in (1, 5, 127, 128, 400):
-        hashes = [r.randrange(-(2**63), 2**63) for _ in range(n)]
-        got = spark.createDataFrame([(hashes, n)], "h array<long>, n int").select(F.expr(fl.simhash("h", "n")).alias("s")).first()["s"] % 2**64
-        want = sum(1 << k for k in range(64) if 2 * sum((h >> k) & 1 for h in hashes) > n)
-        assert got == want
-
-
 def vectors(n, dim, seed):
     r = np.random.default_rng(seed)
     centres = r.standard_normal((5, dim)) * 3
@@ -270,25 +255,50 @@ def made_up(r, n):
     return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(n))
 
 
-def test_lines_of_edit_similarity_are_candidates(spark):
+def test_lines_of_edit_similarity_are_candidates():
     """Recall against brute-force edit similarity, case by case, over random lines and edits."""
-    from pyspark.sql import functions as F
-
-    r, rows = random.Random(4), []
-    cases = [(n, s, "edit") for n in (5, 8, 12, 20, 60) for s in (0.0, 0.05, 0.08, 0.1)] + [(n, 0, k) for n in (12, 20, 60) for k in ("swap", "add")]
+    r, got = random.Random(4), {}
+    cases = [(n, s, "edit") for n in (2, 3, 5, 8, 12, 20, 60) for s in (0.0, 0.05, 0.08)] + [(n, 0, k) for n in (12, 20, 60) for k in ("swap", "add")]
     for case in cases:
+        met = []
         for _ in range(100):
             x = made_up(r, case[0])
             y = edited(r, x, case[1], case[2])
-            rows.append((str(case), x, y))
-    pairs = spark.createDataFrame(rows, "k string, x string, y string").withColumn("most", F.greatest(F.length("x"), F.length("y")))
-    near = pairs.where("x <> y and levenshtein(x, y) <= floor(most * 0.1 + 1e-9)")
-    met = near.select("k", F.expr(f"arrays_overlap({fl.bucket_keys('x')}, {fl.bucket_keys('y')})").cast("int").alias("met"))
-    got = {g["k"]: (g["n"], g["recall"]) for g in met.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("met").alias("recall")).collect()}
-    print(got)
+            if x != y and edit(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9):
+                key, of = fl.bucket_keys(fl.Lines([f"{x}\n{y}".encode()]))
+                met.append(bool(set(key[of == 0].tolist()) & set(key[of == 1].tolist())))
+        got[case] = len(met), sum(met)
+    print({k: (n, m / max(n, 1)) for k, (n, m) in got.items()})
     assert sum(n for n, _ in got.values()) > 1000
-    assert all(recall >= 0.9 for n, recall in got.values() if n >= 20), got
-    assert sum(n * recall for n, recall in got.values()) >= 0.97 * sum(n for n, _ in got.values()), got
+    assert all(m >= 0.9 * n for n, m in got.values() if n >= 20), got
+    assert sum(m for _, m in got.values()) >= 0.97 * sum(n for n, _ in got.values()), got
+
+
+def test_short_lines_are_always_candidates():
+    """Below SHORT characters the pieces miss no pair."""
+    r, n = random.Random(6), 0
+    for _ in range(3000):
+        x = "".join(r.choice("abcé ") for _ in range(r.randrange(10, fl.SHORT)))
+        y = list(x)
+        for _ in range(r.randrange(1, 4)):
+            i, c = r.randrange(len(y)), r.choice("abcé ")
+            y[i : i + 1] = r.choice([[], [c], [y[i], c]])
+        x, y = " ".join(x.split()), " ".join("".join(y).split())
+        if x != y and min(len(x), len(y)) < fl.SHORT and edit(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9):
+            key, of = fl.bucket_keys(fl.Lines([f"{x}\n{y}".encode()]))
+            assert set(key[of == 0].tolist()) & set(key[of == 1].tolist()), (x, y)
+            n += 1
+    assert n > 300
+
+
+def test_lines_of_texts():
+    texts = [b"", b"\n\n One, TWO\t99 \n..!\n\x00end", "é  ß\x0b a-b".encode(), b"\n", b"last\nline"]
+    got = fl.Lines(texts)
+    assert [(int(r), int(p), got.text(i).decode()) for i, (r, p) in enumerate(zip(got.row, got.pos, strict=True))] == [(1, 2, "one two 00"), (1, 4, "end"), (2, 0, "é ß ab"), (4, 0, "last"), (4, 1, "line")]
+    assert got.chars.tolist() == [10, 3, 6, 4, 4] and len(set(got.keys())) == 5
+    again = fl.Lines([b"x\nEND"])
+    assert again.keys()[1] == got.keys()[1] and fl.Lines([b"", b" . "]).keys() == []
+    assert fl.Lines([b"two one"]).keys() != fl.Lines([b"one two"]).keys()
 
 
 def test_edited_lines_are_dropped(stored):
@@ -298,3 +308,29 @@ def test_edited_lines_are_dropped(stored):
     assert all(edit(x, y) <= 0.1 * max(len(x), len(y)) for x, y in zip(base, near, strict=True))
     got = fl.dedup_lines(stored([(0, "\n".join(base), "s", 0, 0), (1, "\n".join(near), "s", 0, 0)], SCHEMA)).collect()
     assert sum(x["n_dropped"] for x in got) >= 38
+
+
+def test_lines_against_brute_force(stored):
+    """Dropped lines are all but one of each group that edit similarity connects, over any path."""
+    r = random.Random(7)
+    base = [made_up(r, r.randrange(2, 25)) for _ in range(40)]
+    lines = [y for x in base for y in (x, edited(r, x, 0.02, "edit"), edited(r, x, 0.04, "edit"), x.upper() + "!")] + ["", "a", "a", "b"] + [made_up(r, 2) for _ in range(20)]
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 7 : i * 7 + 7]), "s", 0, 0) for i in range(-(-len(lines) // 7))] + [(99, None, "s", 0, 0), (98, "", "s", 0, 0)]
+    plain = [" ".join(b"".join([x.encode()]).lower().translate(fl._PLAIN, fl._MARKS).decode().split()) for x in lines]
+    up = list(range(len(lines)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, x in enumerate(plain):
+        for j in range(i):
+            if x and plain[j] and abs(len(x) - len(plain[j])) <= 0.1 * max(len(x), len(plain[j])) and edit(x, plain[j]) <= int(max(len(x), len(plain[j])) * 0.1 + 1e-9):
+                up[root(i)] = root(j)
+    groups = len({root(i) for i, x in enumerate(plain) if x})
+    got = fl.dedup_lines(stored(rows, SCHEMA)).collect()
+    dropped = {(x["doc_id"], k) for x in got for k in x["dropped"]}
+    left = [i for i in range(len(lines)) if plain[i] and (i // 7, i % 7) not in dropped]
+    assert len(left) == len({root(i) for i in left}) == groups and all(x["n_dropped"] == len(x["dropped"]) for x in got)
