@@ -276,3 +276,16 @@ def test_queries_are_registered():
     names = [n for n in queries.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries.queries()
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_segments_of_a_long_falling_walk():
+    """Clean text: no candidate starts below an earlier one. Quadratic work on it would take an hour."""
+    scores = np.tile([0.5, -1.0], 200_000)
+    assert t.segments(scores) == [(2 * i, 2 * i + 1, 0.5) for i in range(200_000)]
+
+
+def test_commonest_words(spark):
+    counts = spark.createDataFrame([(str(i).encode(), c) for i, c in enumerate([5, 3, 3, 3, 2000, 1001, 1, 1])], "word binary, c long")
+    assert [int(w) for w in lm.commonest(counts, 3)["word"].to_pylist()] == [4, 5, 0]
+    assert [int(w) for w in lm.commonest(counts, 6)["word"].to_pylist()] == [4, 5, 0, 1, 2, 3]
+    assert lm.commonest(counts, 0).num_rows == 0 and lm.commonest(counts.limit(0)).num_rows == 0

@@ -192,6 +192,9 @@ def test_nearest_with_odd_vectors(stored, monkeypatch):
             near = sorted((-int(v @ u), j) for kk, j, u in ok if kk != k and len(u) == len(v))[:10]
             want += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(near)]
     assert sorted(tuple(r) for r in got) == sorted(want)
+    huge = [(0, [1e200, 1.0]), (1, [1e200, -1e200]), (2, [1.0, 2.0]), (3, [1e308, 1.0])]
+    got = ct.nearest(stored([(*r, 0) for r in huge], "vec_id long, embedding array<double>, score int", "huge")).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2**63 - 1), (2, 2**63 - 1)]
     assert ct.nearest(stored([], "vec_id long, embedding array<double>, score int", "none")).count() == 0
 
 
@@ -334,3 +337,28 @@ def test_lines_against_brute_force(stored):
     dropped = {(x["doc_id"], k) for x in got for k in x["dropped"]}
     left = [i for i in range(len(lines)) if plain[i] and (i // 7, i % 7) not in dropped]
     assert len(left) == len({root(i) for i in left}) == groups and all(x["n_dropped"] == len(x["dropped"]) for x in got)
+
+
+def test_search_below_a_floor():
+    x = np.floor(vectors(300, 4, 8) * 4)
+    q, rows = np.arange(0, 300, 7), np.arange(300)
+    score, at = ct.search(x[q], q, x, rows, rows, 10)
+    floor = score[:, -1]
+    assert (ct.search(x[q], q, x, rows, rows, 10, floor)[0] == score).all()
+    above, _ = ct.search(x[q], q, x, rows, rows, 10, floor + 1)
+    assert all({v for v in a if v > f} >= {v for v in s if v > f} for a, s, f in zip(above, score, floor, strict=True))
+
+
+def test_within_is_the_edit_distance():
+    r = random.Random(9)
+    for _ in range(3000):
+        x = "".join(r.choice("abé\U0001f600 ") for _ in range(r.randrange(0, 40)))
+        y = list(x)
+        for _ in range(r.randrange(0, 9)):
+            i = r.randrange(len(y) + 1)
+            y[i : i + r.randrange(2)] = r.choice(["", "a", "é", "b "])
+        y = "".join(y) if r.random() < 0.9 else "".join(r.choice("abé ") for _ in range(r.randrange(0, 40)))
+        d = edit(x, y)
+        for most in (0, 1, 3, d - 1, d, d + 1):
+            if most >= 0:
+                assert fl.within(x, y, most) == (d <= most), (x, y, most)
