@@ -78,21 +78,29 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a sequence, end exclusive, in linear time.
 
     Each run of work is on positive scores only; a candidate is merged with those to its left as
-    long as the joint segment scores above both.
+    long as the joint segment scores above both. A candidate knows the nearest one to its left that has a smaller sum
+    before it, as those between need not be looked at again; if there is none, all earlier candidates are final.
     """
     total = np.cumsum(scores)
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at its end
+    final: list[tuple[int, int, float]] = []
+    open_: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum at its end, the lower one to the left
     for i in np.flatnonzero(scores > 0):
         start, before, after = int(i), float(total[i] - scores[i]), float(total[i])
         end = start + 1
         while True:
-            j = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < before), None)
-            if j is None or found[j][3] >= after:
-                found.append((start, end, before, after))
+            j = len(open_) - 1
+            while j >= 0 and open_[j][2] >= before:
+                j = open_[j][4]
+            if j < 0:
+                final += [(a, b, y - x) for a, b, x, y, _ in open_]
+                open_ = [(start, end, before, after, -1)]
                 break
-            start, before = found[j][0], found[j][2]
-            del found[j:]
-    return [(a, b, y - x) for a, b, x, y in found]
+            if open_[j][3] >= after:
+                open_.append((start, end, before, after, j))
+                break
+            start, before = open_[j][0], open_[j][2]
+            del open_[j:]
+    return final + [(a, b, y - x) for a, b, x, y, _ in open_]
 
 
 @dataclass
@@ -248,8 +256,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel, passages: bool)
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAINING, model: ToxicModel | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted and passages, the significant segments in words.
 
-    Null and empty texts score like text without evidence; null ids are scored and not held out;
-    repeated rows and other columns are fine, an empty table gives no rows.
+    Null and empty texts score like text without evidence, texts of any length are searched whole in linear time; null ids
+    are scored and not held out; repeated rows and other columns are fine, an empty table gives no rows.
     """
     model = model or train(docs, labels, id_col, text_col, most)
     kind = docs.schema[id_col].dataType.simpleString()
