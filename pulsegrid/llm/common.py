@@ -34,10 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: With this Spark deletes a job's shuffle files when it is done, which what is stored makes needless.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    """Writes df to the shared folder and reads it back: its lineage ends there, and its shuffle files are deleted."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
