@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from .metrics import pdist, squareform
+from .metrics import close_pairs, pdist, squareform
 from .utils import highest_averages
 
 NOISE = -1
@@ -25,7 +25,7 @@ def dbscan(rows: DataFrame, min_samples: int = 5, eps: float = 0.5, metric: str
 
     Labels travel along links, and through the rows that they name, until none changes; each round is stored.
     """
-    near = _stored(pdist(rows, metric, **options).where(F.col("d") <= eps).select("i", "j"))
+    near = _stored(close_pairs(rows, eps, metric, **options).select("i", "j"))
     both = near.union(near.select("j", "i"))
     degree = rows.select("row_id").join(both.groupBy("i").agg(F.count(F.lit(1)).alias("n")), F.col("row_id") == F.col("i"), "left")
     core = _stored(degree.where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("row_id"))
@@ -84,14 +84,17 @@ def hierarchical(rows: DataFrame, number: int = 0, linkage: str = "average", met
         raise ValueError(f"{n} rows are more than max_rows")
     if number > n:
         raise ValueError("more clusters than rows")
-    return _tree(squareform(pdist(rows, metric, **options)), n, linkage, number)
+    return _tree(squareform(pdist(rows, metric, **options), "tosquare"), n, linkage, number)
 
 
-def kmeans(rows: DataFrame, number: int, max_iter: int = 300, n_init: int = 10, tol: float = 1e-4, seed: int = 0) -> DataFrame:
-    """(row_id, cluster): the best of n_init runs from random centres."""
+def kmeans(rows: DataFrame, number: int, max_iter: int = 300, n_init: int = 10, tol: float = 1e-4, seed: int = 0, init: str = "random") -> DataFrame:
+    """(row_id, cluster): the best of n_init runs from random centres, or, init "k-means||", from centres spread by distance."""
+    if init not in ("random", "k-means||"):
+        raise ValueError(f"unknown start {init!r}")
     data = rows.select("row_id", array_to_vector("v").alias("features")).persist()
-    fits = [KMeans(k=number, initMode="random", maxIter=max_iter, tol=tol, seed=seed + r).fit(data) for r in range(n_init)]
+    fits = [KMeans(k=number, initMode=init, maxIter=max_iter, tol=tol, seed=seed + r).fit(data) for r in range(n_init)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    data.unpersist()
     return best.transform(data).select("row_id", F.col("prediction").alias("cluster"))
 
 
@@ -137,7 +140,7 @@ def consensus_kmeans(rows: DataFrame, number: int = 0, linkage: str = "average",
 
 def mean_distance(rows: DataFrame, metric: str = "euclidean", **options) -> DataFrame:
     """(row_id, md): mean distance to all rows, itself included, at 0."""
-    return squareform(pdist(rows, metric, **options)).groupBy(F.col("i").alias("row_id")).agg(F.avg("d").alias("md"))
+    return squareform(pdist(rows, metric, **options), "tosquare").groupBy(F.col("i").alias("row_id")).agg(F.avg("d").alias("md"))
 
 
 def mdist_templates(rows: DataFrame, clusters: DataFrame, ntemplates: int = 1, metric: str = "euclidean", drop_noise: bool = False, digits: int = 9, **options) -> DataFrame:

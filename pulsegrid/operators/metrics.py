@@ -1,10 +1,23 @@
-"""Distances between vectors (row_id, v), as expressions and as joins."""
+"""Distances between vectors (row_id, v), as expressions and as joins of blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels as k
+
+#: Rows to a block; a task holds the distances of two blocks.
+BLOCK = 1_024
+Metric = str | Callable[[np.ndarray, np.ndarray], float]
+#: Metrics of which the triangle inequality holds, so that blocks far from each other needn't meet.
+TRIANGLE = ("euclidean", "cityblock", "chebyshev")
+PAIRS = "i long, j long, d double"
+
 
 def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
@@ -67,20 +80,106 @@ def distance(a: Column, b: Column, metric: str = "euclidean", p: float = 2, v: l
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def pdist(rows: DataFrame, metric: str = "euclidean", **options) -> DataFrame:
-    """(i, j, d) of all pairs i < j. All pairs are the result, so its size is the square of the input's."""
-    a, b = rows.select(F.col("row_id").alias("i"), F.col("v").alias("a")), rows.select(F.col("row_id").alias("j"), F.col("v").alias("b"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", distance(F.col("a"), F.col("b"), metric, **options).alias("d"))
-
-
-def cdist(left: DataFrame, right: DataFrame, metric: str = "euclidean", **options) -> DataFrame:
+def _vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    v = rows.column("v").combine_chunks()
+    return np.asarray(rows.column("row_id")), v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+
+
+def _between(left: pa.Table, right: pa.Table, same: bool, within: float | None, metric: Metric, options: dict) -> pa.Table:
+    """(i, j, d) between two blocks, or all pairs i < j within one and the same set of rows."""
+    out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    if left.num_rows and right.num_rows:
+        (a, x), (b, y) = _vectors(left), _vectors(right)
+        d = k.distances(x, y, metric, **options)
+        if same and callable(metric):
+            d = np.where(a[:, None] < b[None, :], d, k.distances(y, x, metric, **options).T)
+        wanted = np.ones(d.shape, bool) if within is None else d <= within
+        if same:
+            one_block = left.column("x")[0].as_py() == left.column("y")[0].as_py()
+            wanted &= a[:, None] < b[None, :] if one_block else a[:, None] != b[None, :]
+        r, c = np.nonzero(wanted)
+        i, j = a[r], b[c]
+        out = [np.minimum(i, j) if same else i, np.maximum(i, j) if same else j, d[r, c]]
+    return pa.table({"i": pa.array(out[0], pa.int64()), "j": pa.array(out[1], pa.int64()), "d": pa.array(out[2], pa.float64(), from_pandas=True)})
+
+
+def _check(metric: Metric, options: dict) -> None:
+    """Raises for unknown metrics and missing options before any task runs."""
+    options = {n: x for n, x in options.items() if n in ("w",)} | {n: np.ones((1, 1)) if n == "vi" else [1.0] for n in options if n in ("v", "vi") and options[n] is not None}
+    k.distances(np.ones((1, 1)), np.ones((1, 1)), metric, **{n: [1.0] if n == "w" and x is not None else x for n, x in options.items()})
+
+
+def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
+    rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col("v").cast("array<double>").alias("v"))
+    n = max(1, -(-rows.count() // BLOCK))
+    return rows.withColumn("own", F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")), n
+
+
+def _met(left: DataFrame, right: DataFrame, same: bool, within: float | None, metric: Metric, options: dict) -> DataFrame:
+    right = right.toDF(*right.columns)  # columns of their own, as both sides come from one table
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(lambda a, b: _between(a, b, same, within, metric, options), PAIRS)
+
+
+def pdist(rows: DataFrame, metric: Metric = "euclidean", **options) -> DataFrame:
+    """(i, j, d) of all pairs i < j of distinct row ids, by a metric's name or a function of two vectors.
+
+    All pairs are the result, so its size is the square of the input's. Blocks of rows meet pairwise, each pair in a task.
+    """
+    _check(metric, options)
+    rows, n = _blocks(rows)
+    left = rows.withColumn("y", F.explode(F.sequence("own", F.lit(n - 1)))).withColumnRenamed("own", "x")
+    right = rows.withColumn("x", F.explode(F.sequence(F.lit(0), "own"))).withColumnRenamed("own", "y")
+    return _met(left.select("row_id", "v", "x", "y"), right.select("row_id", "v", "x", "y"), True, None, metric, options)
+
+
+def close_pairs(rows: DataFrame, within: float, metric: Metric = "euclidean", **options) -> DataFrame:
+    """(i, j, d) of the pairs i < j of distance `within` or less.
+
+    With a metric that obeys the triangle inequality rows are dealt to blocks by their distance from the origin, and
+    only blocks meet whose distances differ by no more than `within`; with others all blocks do.
+    """
+    _check(metric, options)
+    if options or metric not in TRIANGLE:
+        return pdist(rows, metric, **options).where(F.col("d") <= within)
+    rows, n = _blocks(rows)
+    far = rows.withColumn("far", distance(F.col("v"), F.transform("v", lambda x: F.lit(0.0)), metric))
+    edges = far.approxQuantile("far", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    own = sum((F.when(F.col("far") >= e, 1).otherwise(0) for e in edges), F.lit(0)) if n <= 64 else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("far")))
+    lows, highs = [0.0, *edges], [*edges, float("inf")]
+    # Blocks are intervals of the distance from the origin, in order.
+    last = [max(j for j in range(i, n) if j == i or lows[j] - highs[i] <= within * (1 + 1e-9)) for i in range(n)]
+    first = [min(i for i in range(j + 1) if last[i] >= j) for j in range(n)]
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("own") + 1)
+    dealt = far.withColumn("own", own.cast("int"))
+    left = dealt.withColumn("y", F.explode(F.sequence("own", pick(last)))).withColumnRenamed("own", "x")
+    right = dealt.withColumn("x", F.explode(F.sequence(pick(first), "own"))).withColumnRenamed("own", "y")
+    return _met(left.select("row_id", "v", "x", "y"), right.select("row_id", "v", "x", "y"), True, within, metric, options)
+
+
+def cdist(left: DataFrame, right: DataFrame, metric: Metric = "euclidean", **options) -> DataFrame:
     """(i, j, d) of every row of left with every row of right."""
-    a, b = left.select(F.col("row_id").alias("i"), F.col("v").alias("a")), right.select(F.col("row_id").alias("j"), F.col("v").alias("b"))
-    return a.crossJoin(b).select("i", "j", distance(F.col("a"), F.col("b"), metric, **options).alias("d"))
-
-
-def squareform(pairs: DataFrame) -> DataFrame:
-    """(i, j, d) of both orders and of each row with itself, from pairs i < j."""
+    _check(metric, options)
+    (left, n), (right, m) = _blocks(left), _blocks(right)
+    left = left.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumnRenamed("own", "x")
+    right = right.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumnRenamed("own", "y")
+    return _met(left.select("row_id", "v", "x", "y"), right.select("row_id", "v", "x", "y"), False, None, metric, options)
+
+
+def squareform(pairs: DataFrame, force: str | None = None, checks: bool = False) -> DataFrame:
+    """(i, j, d) of both orders and of each row with itself, from pairs i < j; the pairs i < j again from such a square.
+
+    force: "tosquare" or "tovector" where the input is known; otherwise it is a square if it holds a pair i = j. checks
+    raises unless a square is symmetric with zeros on its diagonal.
+    """
+    if force not in (None, "tosquare", "tovector"):
+        raise ValueError("force is 'tosquare' or 'tovector'")
+    if force == "tovector" or (force is None and not pairs.where("i = j").isEmpty()):
+        if checks:
+            other = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("d").alias("e"))
+            bad = pairs.join(other, ["i", "j"], "full").where("d is null or e is null or d <> e or (i = j and d <> 0)")
+            if not bad.isEmpty():
+                raise ValueError("the square isn't symmetric with zeros on its diagonal")
+        return condensed(pairs)
     ids = pairs.select("i").union(pairs.select("j")).distinct()
     return pairs.union(pairs.select("j", "i", "d")).union(ids.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d")))
 

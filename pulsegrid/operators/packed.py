@@ -17,16 +17,16 @@ from .signal import KEY
 def per_signal(df: DataFrame, fcn: Callable[[np.ndarray], dict], columns: str, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
     """(signal_id, columns...): the arrays of equal length, or the values, that fcn gives for each signal's samples in order.
 
-    A signal that is too short for the kernel gives no rows.
+    A signal that is too short for the kernel, or has nothing that it looks for, gives no rows; other errors are raised.
     """
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("i", kind="stable")["x"].to_numpy(float)
         try:
             out = {c: np.atleast_1d(v) for c, v in fcn(x).items()}
-        except (ValueError, TypeError, IndexError):
+        except k.NoResult:
             out = {c: np.zeros(0) for c in names}
         n = len(out[names[0]])
         return pd.DataFrame({c: np.repeat(rows[c].to_numpy()[:1], n) for c in keys} | out)
@@ -79,6 +79,27 @@ def detect(df: DataFrame, detector: str, sampling_rate: float = 1000.0, **option
     return per_signal(df, lambda x: {"i": np.asarray(fcn(x, sampling_rate, **options), dtype=np.int64)}, "i long")
 
 
+def kavsaoglu(df: DataFrame, sampling_rate: float = 1000.0, **options: float) -> DataFrame:
+    """(signal_id, kind, i): the onsets, and as kind 'window' the ends of the windows that were searched."""
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        onsets, marks = d.kavsaoglu(x, sampling_rate, **options)
+        return {"kind": np.array(["onset"] * len(onsets) + ["window"] * len(marks), object), "i": np.r_[onsets, marks].astype(np.int64)}
+
+    return per_signal(df, run, "kind string, i long")
+
+
+def ppg_segments(df: DataFrame, sampling_rate: float = 1000.0, select: bool = False, threshold: float | None = None) -> DataFrame:
+    """(signal_id, start, stop, selected): pulses from minimum to minimum, and whether the selection keeps them."""
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        found = d.ppg_segments(x, sampling_rate, select, threshold)
+        kept = {tuple(s) for s in found["selected"].tolist()}
+        return {"start": found["segments"][:, 0], "stop": found["segments"][:, 1], "selected": np.array([not select or tuple(s) in kept for s in found["segments"].tolist()], bool)}
+
+    return per_signal(df, run, "start long, stop long, selected boolean")
+
+
 ACTIVITY: dict[str, Callable] = {"bonato": d.bonato, "lidierth": d.lidierth, "solnik": d.solnik, "londral": d.londral, "abbink": d.abbink, "silva": d.silva}
 
 

@@ -1,6 +1,7 @@
 """Primitives over signals: tables (signal_id, i, x) with i from 0, one row a sample.
 
-Everything here is windows, joins and aggregates partitioned by signal_id. Null samples should be
+Everything here is windows, joins and aggregates partitioned by signal_id, but for the Fourier transform and the matrix
+profile, which are numpy over whole signals. Null samples should be
 dropped before they are numbered. Ties go to the smallest index.
 """
 
@@ -8,10 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
+
 KEY = "signal_id"
+#: Query windows that one task of a matrix profile searches for.
+PROFILE_BLOCK = 4_096
 
 
 def by_signal(order: str = "i", key: str = KEY):
@@ -152,6 +159,29 @@ def windower(df: DataFrame, size: int, step: int | None, fcn: Callable[[Column],
     return rows.groupBy(KEY, "start").agg(fcn(F.col("x")).alias("value"))
 
 
+def windower_array(df: DataFrame, size: int, step: int | None, fcn: Callable[[np.ndarray], object], kernel: list[float] | None = None) -> DataFrame:
+    """(signal_id, start, p, value): any function of a window's samples, which gives a number or an array; p is the place in it.
+
+    A Python function for what no aggregate expresses: one Arrow call per signal, which must fit a task.
+    """
+    step = step or size
+    if step < 1 or size < 1:
+        raise ValueError("size and step must be positive")
+    if kernel is not None and len(kernel) != size:
+        raise ValueError("the kernel must be as long as a window")
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = np.asarray(rows.sort_by("i").column("x"), float)
+        starts = range(0, len(x) - size + 1, step)
+        values = [np.atleast_1d(fcn(x[a : a + size] if kernel is None else x[a : a + size] * np.asarray(kernel, float))).astype(float) for a in starts]
+        n = [len(v) for v in values]
+        start = np.repeat(np.array(starts, np.int64), n)
+        return pa.table({KEY: pa.repeat(rows.column(KEY)[0], len(start)), "start": start, "p": np.concatenate([np.arange(k) for k in n] or [np.zeros(0)]).astype(np.int32), "value": np.concatenate(values or [np.zeros(0)])})
+
+    kind = df.schema[KEY].dataType.simpleString()
+    return df.select(KEY, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")).groupBy(KEY).applyInArrow(run, f"{KEY} {kind}, start long, p int, value double")
+
+
 def waves(df: DataFrame, size: int, step: int | None = None, how: str = "mean", order: str = "row_id", vector: str = "v") -> DataFrame:
     """(start, wave): positionwise mean or median of each block of `size` rows in order."""
     step = step or size
@@ -227,17 +257,22 @@ def heart_rate(beats: DataFrame, sampling_rate: float = 1000.0, smooth: bool = F
     return placed.join(flat.select(KEY, F.col("i").alias("k"), "x"), [KEY, "k"]).select(KEY, "i", F.col("x").alias("hr"))
 
 
-def dft(df: DataFrame, points: int | None = None, key: list[str] | None = None) -> DataFrame:
-    """(key, k, re, im, n): the discrete Fourier transform at bins below half of the points (default: the samples).
+def dft(df: DataFrame, points: int | None = None, key: list[str] | None = None, pad: int = 0) -> DataFrame:
+    """(key, k, re, im, n, samples): the discrete Fourier transform at bins below half of n, an FFT for each signal.
 
-    It sums over samples x bins, in place of an FFT, so that it stays one aggregate.
+    n is `points`, or by default the number of samples and `pad`. Signals of fewer than 2 points have no bins.
     """
     key = key or [KEY]
-    n = F.lit(points) if points else F.count(F.lit(1)).over(Window.partitionBy(*key))
-    rows = df.withColumn("n", n.cast("long")).where("n >= 2").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("n div 2 - 1"))))
-    # The angle is taken modulo a full turn in integers, where it is exact.
-    angle = F.lit(-2.0) * F.pi() * F.pmod(F.col("k") * F.col("i"), F.col("n")) / F.col("n")
-    return rows.groupBy(*key, "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"), F.max("n").alias("n"))
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in key)
+
+    def run(rows: pa.Table) -> pa.Table:
+        m = rows.num_rows
+        n = points or m + pad
+        z = kernels.spectrum(np.asarray(rows.column("x"), float), np.asarray(rows.column("i")), n) if n >= 2 else np.zeros(0, complex)
+        same = {c: pa.repeat(rows.column(c)[0], len(z)) for c in key}
+        return pa.table(same | {"k": pa.array(np.arange(len(z)), pa.int64()), "re": z.real.copy(), "im": z.imag.copy(), "n": pa.repeat(pa.scalar(n, pa.int64()), len(z)), "samples": pa.repeat(pa.scalar(m, pa.int64()), len(z))})
+
+    return df.select(*key, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")).groupBy(*key).applyInArrow(run, f"{kinds}, k long, re double, im double, n long, samples long")
 
 
 def power_spectrum(df: DataFrame, sampling_rate: float = 1000.0, pad: int = 0, decibel: bool = True, true_bins: bool = False, key: list[str] | None = None) -> DataFrame:
@@ -247,9 +282,7 @@ def power_spectrum(df: DataFrame, sampling_rate: float = 1000.0, pad: int = 0, d
     above the first are doubled in amplitude.
     """
     key = key or [KEY]
-    count = Window.partitionBy(*key)
-    rows = df.withColumn("__m", F.count(F.lit(1)).over(count))
-    scaled = dft_padded(rows, pad, key)
+    scaled = dft(df, key=key, pad=pad)
     amp = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("samples")
     power = F.pow(amp * F.when(F.col("k") > 0, 2.0).otherwise(1.0), F.lit(2))
     half = F.expr("n div 2")
@@ -257,13 +290,6 @@ def power_spectrum(df: DataFrame, sampling_rate: float = 1000.0, pad: int = 0, d
     return scaled.select(*key, "k", freq.alias("freq"), (F.lit(10.0) * F.log10(power) if decibel else power).alias("power"))
 
 
-def dft_padded(rows: DataFrame, pad: int, key: list[str]) -> DataFrame:
-    """dft of rows with their number of samples __m, as if `pad` zeros followed; samples: that number."""
-    rows = rows.withColumn("n", (F.col("__m") + pad).cast("long")).where("n >= 2").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("n div 2 - 1"))))
-    angle = F.lit(-2.0) * F.pi() * F.pmod(F.col("k") * F.col("i"), F.col("n")) / F.col("n")
-    return rows.groupBy(*key, "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"), F.max("n").alias("n"), F.max("__m").alias("samples"))
-
-
 def hann(size: int, symmetric: bool = True) -> Column:
     """Weight of place k in a Hann window."""
     return F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(2.0) * F.pi() * F.col("k") / F.lit(float(max(1, size - 1 if symmetric else size))))
@@ -343,16 +369,33 @@ def matrix_profile(df: DataFrame, other: DataFrame | None, size: int, limit: Col
     """(signal_id, start, d, neighbour): each window's nearest one, in the same signal or in another with its id.
 
     In the same signal, windows within round(size / 4) don't count. Distances tie at `digits` places; the
-    same signal then gives the first neighbour, another the last. `limit` keeps a part of the query windows.
+    same signal then gives the first neighbour, another the last. `limit` keeps a part of the query windows. Windows are
+    searched for in blocks of PROFILE_BLOCK, each a task that holds the signal; no pair of windows is a row.
     """
-    one = _normal_windows(df, size)
-    two = (_normal_windows(other, size) if other is not None else one).select(KEY, F.col("start").alias("start2"), F.col("v").alias("v2"), F.col("m").alias("m2"), F.col("s").alias("s2"))
-    both = (one.where(limit) if limit is not None else one).join(two, KEY)
+    one = df.select(KEY, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
+    count = Window.partitionBy(KEY)
+    blocks = F.expr(f"cast(greatest(0, (n - {size}) div {PROFILE_BLOCK}) as int)")
+    dealt = one.withColumn("n", F.count(F.lit(1)).over(count)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks))).select(KEY, "block", "i", "x")
+    skip = round(size / 4) if other is None else None
+    schema = f"{KEY} {df.schema[KEY].dataType.simpleString()}, start long, d double, neighbour long"
+
+    def run(mine: pa.Table, theirs: pa.Table | None = None) -> pa.Table:
+        mine = mine.sort_by("i")
+        theirs = mine if theirs is None else theirs.sort_by("i")
+        x, y = np.asarray(mine.column("x")), np.asarray(theirs.column("x"))
+        first = mine.column("block")[0].as_py() * PROFILE_BLOCK if mine.num_rows else 0
+        at, d, near = kernels.nearest_windows(x, y, size, first, first + PROFILE_BLOCK, skip, digits)
+        key = mine.column(KEY) if mine.num_rows else theirs.column(KEY)
+        return pa.table({KEY: key.take(pa.array(np.zeros(len(at), np.int64))), "start": mine.column("i").take(pa.array(at)), "d": pa.array(d), "neighbour": theirs.column("i").take(pa.array(near))})
+
     if other is None:
-        both = both.where(F.abs(F.col("start") - F.col("start2")) > round(size / 4))
-    near = both.select(KEY, "start", "start2", F.round(_normal_distance(size), digits).alias("d")).where("d is not null")
-    tie = F.col("start2") if other is None else -F.col("start2")
-    return near.groupBy(KEY, "start").agg(F.min("d").alias("d"), F.min_by("start2", F.struct("d", tie)).alias("neighbour"))
+        found = dealt.groupBy(KEY, "block").applyInArrow(lambda t: run(t), schema)
+    else:
+        every = dealt.select(KEY, "block").distinct()
+        two = other.select(KEY, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")).join(every, KEY).select(KEY, "block", "i", "x")
+        two = two.toDF(*two.columns)  # columns of their own, as both may come from one table
+        found = dealt.groupBy(KEY, "block").cogroup(two.groupBy(KEY, "block")).applyInArrow(lambda a, b: run(a, b), schema)
+    return found if limit is None else found.join(_normal_windows(df, size).where(limit).select(KEY, "start"), [KEY, "start"], "left_semi")
 
 
 def car_reference(df: DataFrame) -> DataFrame:

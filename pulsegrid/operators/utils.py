@@ -39,11 +39,16 @@ def largest_remainder(parties: DataFrame, party: str, votes: str, seats: int, re
     return rows.withColumn("left", left).withColumn("place", place).select(party, (F.col("sure") + (F.col("place") <= F.col("left")).cast("int")).cast("long").alias("seats"))
 
 
+def _draw(key: str, *turn: Column) -> Column:
+    """A seeded hash of a key, in hexadecimal, whose order is random and the same on every run."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), *[t.cast("string") for t in turn]))
+
+
 def random_fraction(rows: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
     """Adds `use`: true for the given fraction of the rows, the first in order of a seeded hash."""
     if not 0 <= fraction <= 1:
         raise ValueError("a fraction is between 0 and 1")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(_draw(key, F.lit(seed)), key))
     return rows.withColumn("use", place <= F.floor(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * fraction))
 
 
@@ -51,7 +56,7 @@ def cross_validation(rows: DataFrame, label: str, key: str, n_iter: int = 10, te
     """(split, key, label, test): stratified shuffle splits, each label giving its share of the test rows, at least one."""
     splits = rows.select(F.col(key), F.col(label)).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
     own = Window.partitionBy("split", label)
-    place = F.row_number().over(own.orderBy(F.xxhash64(F.col(key), F.col("split"), F.lit(seed)), key))
+    place = F.row_number().over(own.orderBy(_draw(key, F.col("split"), F.lit(seed)), key))
     return splits.withColumn("test", place <= F.greatest(F.lit(1), F.round(F.count(F.lit(1)).over(own) * test_size)))
 
 
@@ -98,6 +103,13 @@ class Result:
         self._fields = fields
         self.__dict__.update(fields)
 
+    def __getnewargs__(self) -> tuple:
+        """The values alone, as a tuple has them when it is copied or pickled."""
+        return (tuple(self),)
+
+    def __reduce__(self) -> tuple:
+        return _result, (self._fields,)
+
     def __getitem__(self, key):
         return list(self._fields.values())[key] if isinstance(key, int | slice) else self._fields[key]
 
@@ -117,6 +129,10 @@ class Result:
         return dict(self._fields)
 
 
+def _result(fields: dict) -> Result:
+    return Result(**fields)
+
+
 _clocks: dict[str | None, float] = {}
 
 

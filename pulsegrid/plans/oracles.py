@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from ..functions import kernels
+
 SIG = "sig as (select user_id as signal_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value as x from events where value is not null)"
 XY = f"{SIG}, xy as (select a.signal_id, a.i, a.x, b.x as y from sig a join sig b on a.signal_id = b.signal_id and b.i = a.i + 1)"
 NUM = f"{SIG}, num as (select *, count(*) over (partition by signal_id) as n, first_value(x) over (partition by signal_id order by i) as head, last_value(x) over (partition by signal_id order by i rows between unbounded preceding and unbounded following) as tail from sig)"
@@ -273,3 +277,82 @@ SQL = {
         b as (select *, count(*) over (partition by signal_id, axis) as n from ax), k as (select *, unnest(range(0, n // 2)) as k from b)
         select signal_id, axis, k, {r('k * 100.0 / max(n)')} as freq, {r('sqrt(pow(sum(x * cos(-2.0 * pi() * ((k * i) % n) / n)), 2) + pow(sum(x * sin(-2.0 * pi() * ((k * i) % n) / n)), 2)) / max(n)')} as abs_amp from k group by signal_id, axis, k""",
 }
+
+
+# --- kernels, from the definitions ---
+
+
+def _numbers(xs) -> str:
+    return "[" + ", ".join(f"{float(x)!r}::double" for x in np.atleast_1d(xs)) + "]"
+
+
+BY_TYPE = "typ as (select event_type as signal_id, row_number() over (partition by event_type order by ts, event_id) - 1 as i, value as x from events where value is not null)"
+
+
+def _filtfilt(taps: str, n: int) -> str:
+    """Taps over an odd extension at both ends, forwards and then backwards; before its first sample each pass has that one again."""
+    pad = 3 * n
+    return f"""with {BY_TYPE}, len as (select signal_id, max(i) + 1 as n, arg_min(x, i) as head, arg_max(x, i) as tail from typ group by signal_id having max(i) + 1 > {pad}),
+        ext as (select signal_id, i + {pad} as i, x from typ semi join len using (signal_id)
+            union all select t.signal_id, {pad} - t.i, 2 * head - x from typ t join len using (signal_id) where t.i between 1 and {pad}
+            union all select t.signal_id, {pad} + n + (n - 2 - t.i), 2 * tail - x from typ t join len using (signal_id) where t.i between n - 1 - {pad} and n - 2),
+        taps as (select unnest({taps}) as b, unnest(range(0, {n})) as k),
+        ahead as (select e.signal_id, e.i, sum(b * f.x) as x from ext e cross join taps join ext f on f.signal_id = e.signal_id and f.i = greatest(e.i - k, 0) group by all),
+        back as (select e.signal_id, e.i, sum(b * f.x) as x from ahead e join len using (signal_id) cross join taps join ahead f on f.signal_id = e.signal_id and f.i = least(e.i + k, n + {2 * pad} - 1) group by all)
+        select signal_id, i - {pad} as i, {r('x')} as x from back join len using (signal_id) where i between {pad} and {pad} + n - 1"""
+
+
+_FIR = kernels.get_filter("FIR", "bandpass", 31, [3, 45], 1000.0)[0]
+#: The transform kept at bins 0 and n/2, doubled between and left out above, and turned back.
+ANALYTIC = """{0}n as (select *, count(*) over (partition by signal_id) as n from {1}),
+    {0}bins as (select *, unnest(range(0, n // 2 + 1)) as k from {0}n),
+    {0}dft as (select signal_id, k, max(n) as n, sum(x * cos(-2 * pi() * ((k * i) % n) / n)) as re, sum(x * sin(-2 * pi() * ((k * i) % n) / n)) as im from {0}bins group by signal_id, k),
+    {0}z as (select a.signal_id, a.i, sum(h * (re * cos(2 * pi() * ((k * a.i) % a.n) / a.n) - im * sin(2 * pi() * ((k * a.i) % a.n) / a.n))) / any_value(a.n) as re,
+        sum(h * (re * sin(2 * pi() * ((k * a.i) % a.n) / a.n) + im * cos(2 * pi() * ((k * a.i) % a.n) / a.n))) / any_value(a.n) as im
+        from {0}n a join (select *, case when k = 0 or 2 * k = n then 1 else 2 end as h from {0}dft) d on a.signal_id = d.signal_id group by a.signal_id, a.i)"""
+
+
+def _student(rows: str) -> str:
+    """pv (signal_id, pvalue) of rows (signal_id, t, df): Student's t by its finite series for whole degrees of freedom."""
+    return f"""arc as (select signal_id, df, atan(abs(t) / sqrt(df)) as a from ({rows})),
+        term as (select signal_id, df, a, j, sum(case when j = 0 then 0.0 when df % 2 = 0 then ln((2 * j - 1) / (2.0 * j)) + 2 * ln(cos(a)) else ln(2.0 * j / (2 * j + 1)) + 2 * ln(cos(a)) end)
+            over (partition by signal_id order by j) as l from (select *, unnest(range(0, case when df % 2 = 0 then df // 2 else (df - 1) // 2 end)) as j from arc)),
+        pv as (select signal_id, case when df % 2 = 0 then 1 - sin(a) * sum(exp(l)) else 1 - 2 / pi() * (a + sin(a) * cos(a) * sum(exp(l))) end as pvalue from term group by signal_id, df, a)"""
+
+
+def _response() -> str:
+    b, a = kernels.get_filter("cheby2", "lowpass", 4, 8, 100.0)
+    part = lambda c, f: f"list_sum(list_transform(range(1, {len(c)} + 1), lambda k: ({_numbers(c)})[k] * {f}(-(k - 1) * w)))"
+    return f"""with f as (select j, j * 50.0 / 250 as freq, pi() * j / 250 as w from range(0, 250) t(j)),
+        h as (select j, freq, {part(b, 'cos')} as br, {part(b, 'sin')} as bi, {part(a, 'cos')} as ar, {part(a, 'sin')} as ai from f),
+        z as (select j, freq, (br * ar + bi * ai) / (ar * ar + ai * ai) as re, (bi * ar - br * ai) / (ar * ar + ai * ai) as im from h),
+        p as (select *, atan2(im, re) as angle, atan2(im, re) - lag(atan2(im, re)) over (order by j) as d from z)
+        select {r('freq', 5)} as freq, {r('20 * log10(greatest(sqrt(re * re + im * im), 1e-300))', 5)} as magnitude, {r('angle - 2 * pi() * coalesce(sum(round(d / (2 * pi()))) over (order by j), 0)', 5)} as phase from p"""
+
+
+SIGNS = "bits as (select vec_id as row_id, list_transform(embedding, lambda e: case when e > 0 then 1 else 0 end) as b from embeddings)"
+COUNTS = f"""{SIGNS}, cnt as (select x.row_id as i, y.row_id as j, list_sum(list_transform(list_zip(x.b, y.b), lambda p: p[1] * p[2])) as tt, list_sum(x.b) as a, list_sum(y.b) as b from bits x join bits y on x.row_id < y.row_id)"""
+_PAIRED, _UNPAIRED = "avg(x - y) / (stddev_samp(x - y) / sqrt(count(*)))", "(avg(x) - avg(y)) / sqrt((var_samp(x) + var_samp(y)) / count(*))"
+_R = "greatest(-1.0, least(1.0, corr(x, y)))"
+SQL |= {
+    "fir_filter": _filtfilt(_numbers(_FIR), len(_FIR)),
+    "analytic_signal": f"with {SIG}, {ANALYTIC.format('a', 'sig')} select signal_id, i, {r('sqrt(re * re + im * im)')} as amplitude, {r('atan2(im, re)')} as phase from az",
+    "phase_locking": f"""with {SIG}, sq as (select signal_id, i, x * x as x from sig), {ANALYTIC.format('a', 'sig')}, {ANALYTIC.format('b', 'sq')},
+        d as (select az.signal_id, atan2(az.im, az.re) - atan2(bz.im, bz.re) as d from az join bz on az.signal_id = bz.signal_id and az.i = bz.i)
+        select signal_id, {r('sqrt(avg(cos(d)) ** 2 + avg(sin(d)) ** 2)')} as plf from d group by signal_id""",
+    "random_fraction": """select row_id, label, row_number() over (order by md5(concat(row_id, ':0')), row_id) <= floor(count(*) over () * 0.3) as use
+        from (select vec_id as row_id, label from embeddings)""",
+    "cross_validation": """select row_id, label, cast(split as integer) as split, row_number() over (partition by split, label order by md5(concat(row_id, ':', split, ':0')), row_id) <= greatest(1, round(count(*) over (partition by split, label) * 0.2)) as test
+        from (select vec_id as row_id, label, unnest(range(0, 3)) as split from embeddings)""",
+    "paired_test": f"with {XY}, st as (select signal_id, {_PAIRED} as t, count(*) - 1 as df from xy group by signal_id), {_student('from st')} select signal_id, {r('t')} as statistic, df, {r('pvalue')} as pvalue from st join pv using (signal_id)",
+    "unpaired_test": f"with {XY}, st as (select signal_id, {_UNPAIRED} as t, 2 * count(*) - 2 as df from xy group by signal_id), {_student('from st')} select signal_id, {r('t')} as statistic, df, {r('pvalue')} as pvalue from st join pv using (signal_id)",
+    "pearson_test": f"with {XY}, c as (select signal_id, {_R} as r, count(*) - 2 as df from xy group by signal_id), {_student('select signal_id, r * sqrt(df) / sqrt(1 - r * r) as t, df from c')} select signal_id, {r('r')} as r, {r('pvalue')} as pvalue from c join pv using (signal_id)",
+    "filter_response": _response(),
+    "pdist_jaccard": f"with {COUNTS} select i, j, {r('(a + b - 2 * tt) / cast(a + b - tt as double)')} as d from cnt",
+    "pdist_yule": f"with {COUNTS} select i, j, {r('2.0 * (a - tt) * (b - tt) / ((a - tt) * (b - tt) + tt * (64 - a - b + tt))')} as d from cnt",
+    "close_pairs": f"with {WAVE} select a.row_id as i, b.row_id as j, {r(dist('euclidean'), 5)} as d from wave a join wave b on a.row_id < b.row_id where {dist('euclidean')} <= 9.5",
+    "windower_array": f"""with {SIG}, st as (select signal_id, unnest(range(0, max(i) + 1 - 5, 3)) as start from sig group by signal_id)
+        select st.signal_id, start, cast(a.i - start as integer) as p, {r('a.x - b.x')} as value from st join sig a on a.signal_id = st.signal_id and a.i between start and start + 5
+        join sig b on b.signal_id = st.signal_id and b.i = 2 * start + 5 - a.i""",
+}
+SQL["eer"] = SQL["eer"].replace("[8.0::double, 9.5, 11.0, 12.5]", "[2.0::double, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 12.0]")

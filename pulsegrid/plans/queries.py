@@ -32,14 +32,18 @@ def heart_rate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rates.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.avg("hr").alias("mean_hr"), F.min("hr").alias("min_hr"), F.max("hr").alias("max_hr")))
 
 
-def _knn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+THRESHOLDS = (8.0, 9.5, 11.0, 12.5)
+EER_THRESHOLDS = (2.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 12.0)
+
+
+def _knn(spark: SparkSession, sf_dir: str, levels: tuple[float, ...] = THRESHOLDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = v.waves(spark, sf_dir).select(F.col("label").cast("string").alias("subject"), F.col("row_id").alias("sample_id"), "v")
-    thresholds = spark.createDataFrame([(float(t),) for t in (8.0, 9.5, 11.0, 12.5)], "threshold double")
+    thresholds = spark.createDataFrame([(float(t),) for t in levels], "threshold double")
     return rows.where("sample_id % 5 = 0"), rows.where("sample_id % 5 <> 0"), thresholds
 
 
-def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes, templates, thresholds = _knn(spark, sf_dir)
+def _decisions(spark: SparkSession, sf_dir: str, levels: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    probes, templates, thresholds = _knn(spark, sf_dir, levels)
     pairs = bio.ranked(probes, templates, digits=6)
     return bio.knn_authenticate(pairs, thresholds).join(bio.knn_identify(pairs, thresholds), ["subject", "sample_id", "threshold"])
 
@@ -70,6 +74,17 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(KEY, part(37, 101).alias("bsqi"), part(53, 97).alias("fsqi"), (part(11, 13) * 10).alias("ksqi"), (F.lit(0.85) + part(7, 19) * 0.15).alias("bas"), (F.col("n") * 1.7).alias("max_rate"))
 
 
+def _signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings' signs as vectors of 0 and 1."""
+    return v.waves(spark, sf_dir).select("row_id", F.transform("v", lambda x: (x > 0).cast("double")).alias("v"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of all probes, and of those with even ids, as two runs."""
+    every = _decisions(spark, sf_dir)
+    return bio.subject_results(every).withColumn("run_id", F.lit(0)).unionByName(bio.subject_results(every.where("sample_id % 2 = 0")).withColumn("run_id", F.lit(1)))
+
+
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.waves(spark, sf_dir).select(F.col("row_id").alias(KEY), F.col("v").alias("beat"))
 
@@ -91,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "finite_difference": lambda k, d: rounded(s.finite_difference(v.sig_user(k, d), [-0.5, 0.0, 0.5])),
     "windower_mean": lambda k, d: rounded(s.windower(v.sig_user(k, d), 10, 5, F.avg)),
     "windower_kernel": lambda k, d: rounded(s.windower(v.sig_user(k, d), 5, 5, F.sum, [0.0, 0.5, 1.0, 0.5, 0.0])),
+    "windower_array": lambda k, d: rounded(s.windower_array(v.sig_user(k, d), 6, 3, lambda x: x - x[::-1])),
     "mean_waves": lambda k, d: rounded(s.waves(v.waves(k, d), 10, 5, "mean")),
     "median_waves": lambda k, d: rounded(s.waves(v.waves(k, d), 10, 10, "median")),
     "heart_rate": lambda k, d: rounded(s.heart_rate(v.raw_peaks(k, d), 5.0)),
@@ -135,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pdist_euclidean": lambda k, d: rounded(m.pdist(v.waves(k, d)), 5),
     "pdist_pcosine": lambda k, d: rounded(m.pdist(v.waves(k, d), "pcosine"), 5),
     "cdist_cityblock": lambda k, d: rounded(m.cdist(v.waves(k, d).where("label < 5"), v.waves(k, d).where("label >= 5"), "cityblock"), 5),
+    "pdist_jaccard": lambda k, d: rounded(m.pdist(_signs(k, d), "jaccard"), 6),
+    "pdist_yule": lambda k, d: rounded(m.pdist(_signs(k, d), "yule"), 6),
+    "close_pairs": lambda k, d: rounded(m.close_pairs(v.waves(k, d), 9.5), 5),
     "squareform": lambda k, d: rounded(m.squareform(m.pdist(v.waves(k, d), "chebyshev")), 5),
     "dbscan": lambda k, d: c.dbscan(v.waves(k, d), 4, 9.5),
     "outliers_dbscan": lambda k, d: c.outliers_dbscan(v.waves(k, d), 4, 9.5),
@@ -148,13 +167,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hierarchical": lambda k, d: c.hierarchical(v.waves(k, d), 4, "average"),
     "coassoc_partition": lambda k, d: c.coassoc_partition(c.create_coassoc(_ensemble(k, d)), 3),
     "kmeans": lambda k, d: c.kmeans(v.waves(k, d), 10),
+    "create_ensemble": lambda k, d: c.create_ensemble(v.waves(k, d), c.dbscan, {"min_samples": [3, 4], "eps": [9.0, 9.5]}),
+    "consensus": lambda k, d: c.consensus(v.waves(k, d), c.dbscan, {"min_samples": [3, 4], "eps": [9.0, 9.5]}, 3),
     # Biometrics.
     "knn_authenticate": lambda k, d: bio.knn_authenticate(bio.ranked(*_knn(k, d)[:2], digits=6), _knn(k, d)[2]),
     "knn_identify": lambda k, d: bio.knn_identify(bio.ranked(*_knn(k, d)[:2], digits=6), _knn(k, d)[2]),
     "subject_results": lambda k, d: bio.subject_results(_decisions(k, d)),
     "assess_classification": lambda k, d: rounded(bio.assess_classification(bio.subject_results(_decisions(k, d)))),
+    "assess_runs": lambda k, d: rounded(bio.assess_runs(_runs(k, d))),
     "misses": lambda k, d: bio.misses(_decisions(k, d)),
-    "eer": lambda k, d: rounded(bio.crossings(bio.auth_rates(bio.subject_results(_decisions(k, d))), "far", "frr", ["subject"])),
+    "eer": lambda k, d: rounded(bio.crossings(bio.auth_rates(bio.subject_results(_decisions(k, d, EER_THRESHOLDS))), "far", "frr", ["subject"])),
     "majority_rule": lambda k, d: bio.majority_rule(v.table(k, d, "events"), "user_id", "event_type"),
     "combination": lambda k, d: rounded(bio.combination(_votes(k, d))),
     "svm_identify": lambda k, d: _svm(k, d),
@@ -177,7 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ppg_mean_pulse": lambda k, d: rounded(p.ppg_mean_pulse(v.recordings(k, d))),
     "homomorphic_filter": lambda k, d: rounded(p.homomorphic_filter(v.sig_type(k, d), 100.0)),
     "pearson_test": lambda k, d: rounded(p.pearson_test(v.xy(k, d))),
-    "filter_response": lambda k, d: rounded(k.createDataFrame(p.filter_response("butter", "bandpass", 4, [1, 8], 100.0, 256)), 5),
+    "filter_response": lambda k, d: rounded(k.createDataFrame(p.filter_response("cheby2", "lowpass", 4, 8, 100.0, 250)), 5),
     "unpaired_test": lambda k, d: rounded(p.pvalues(s.unpaired_test(v.xy(k, d)))),
     "paired_test": lambda k, d: rounded(p.pvalues(s.paired_test(v.xy(k, d)))),
 }
@@ -198,7 +220,7 @@ QUERIES |= {
     "activity_abbink": lambda k, d: p.activity(v.sig_type(k, d), "abbink", rest=[0, 200], size=10, alarm_size=10, threshold=1.0, transition=1.0),
     "pipeline_ecg": lambda k, d: rounded(pipe.ecg(v.recordings(k, d)).heart_rate),
     "pipeline_eda": lambda k, d: rounded(pipe.eda(v.sig_type(k, d), 100.0).responses),
-    "pipeline_emg": lambda k, d: pipe.emg(v.sig_type(k, d), 1000.0).onsets,
+    "pipeline_emg": lambda k, d: pipe.emg(v.recordings(k, d), 1000.0).onsets,
     "pipeline_abp": lambda k, d: pipe.abp(v.recordings(k, d)).onsets,
     "pipeline_bvp": lambda k, d: rounded(pipe.bvp(v.recordings(k, d)).heart_rate),
     "pipeline_ppg": lambda k, d: rounded(pipe.ppg(v.recordings(k, d)).heart_rate),

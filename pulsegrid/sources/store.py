@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import pickle
 import uuid
 import zipfile
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +133,20 @@ class Store:
         return self._list("events", group, recursive)
 
 
+def serialize(data, path: str, compress: int = 3) -> None:
+    """Pickles data into a file on the driver, at a zlib level of 0 to 9."""
+    if compress not in range(10):
+        raise ValueError("compress is 0 to 9")
+    with open(os.path.abspath(os.path.expanduser(path)), "wb") as f:
+        f.write(zlib.compress(pickle.dumps(data), compress))
+
+
+def deserialize(path: str):
+    """What serialize wrote. Unpickling runs code: read only files that you trust."""
+    with open(os.path.abspath(os.path.expanduser(path)), "rb") as f:
+        return pickle.loads(zlib.decompress(f.read()))
+
+
 def dump_json(data, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(data, f)

@@ -12,11 +12,23 @@ from ..functions import kernels as k
 DEFAULTS = {"Kb": 130, "Ap": 0.2, "Kp": 100, "Kpq": 40, "Aq": 0.1, "Kq1": 25, "Kq2": 5, "Ar": 0.7, "Kr": 40, "As": 0.2, "Ks": 30, "Kcs": 5, "sm": 96, "Kst": 100, "At": 0.15, "Kt": 220, "si": 2, "Ki": 200}
 
 
+# The least and the largest that each may be.
+LIMITS = {
+    "Kb": (0, 130), "Ap": (-0.2, 0.5), "Kp": (10, 100), "Kpq": (0, 60), "Aq": (0, 0.5), "Kq1": (0, 70), "Kq2": (0, 50), "Ar": (0.5, 2), "Kr": (10, 150),
+    "As": (0, 1), "Ks": (10, 200), "Kcs": (-5, 150), "sm": (1, 150), "Kst": (0, 110), "At": (-0.5, 1), "Kt": (50, 300), "si": (0, 50),
+}
+
+
+def check_limits(p: dict[str, float]) -> None:
+    """Raises for a parameter that no beat has."""
+    for name, (low, high) in LIMITS.items():
+        if not low <= p[name] <= high:
+            raise ValueError(f"{name} is {p[name]}, not between {low} and {high}")
+
+
 def segments(p: dict[str, float], step: float = 1.0) -> list[np.ndarray]:
     """The base line, P, PQ, Q down, Q up, R, S, ST, T and the return, each sampled every `step`."""
     at = lambda n: np.arange(0, n, step)
-    if p["Kb"] > 130:
-        raise ValueError("a base line of over 130 is not physiological")
     flat = lambda n: np.zeros(int(n * int(1 / step)))
 
     # Each wave starts where the one before ends, at the ends of their formulas and not at their last samples.
@@ -44,11 +56,17 @@ def segments(p: dict[str, float], step: float = 1.0) -> list[np.ndarray]:
 
 
 def beat(sampling_rate: float = 1000.0, var: float = 0.01, seed: int = 0, **parameters: float) -> tuple[np.ndarray, dict[str, float]]:
-    """(samples, parameters used): one beat, its parameters varied by a normal share `var`, all but Ki."""
+    """(samples, parameters used): one beat, its parameters varied by a normal share `var`, all but Ki.
+
+    Parameters are checked before they vary.
+    """
     if unknown := set(parameters) - set(DEFAULTS):
         raise TypeError(f"unknown parameters {sorted(unknown)}")
+    if not 0 <= var <= 1:
+        raise TypeError("a variability is between 0 and 1")
     r = np.random.default_rng(seed)
     used = DEFAULTS | parameters
+    check_limits(used)
     used = {n: v if n == "Ki" or not var else float(np.clip(v * (1 + var * r.standard_normal()), 0, 130) if n == "Kb" else max(v * (1 + var * r.standard_normal()), 1e-9)) for n, v in used.items()}
     parts = segments(used, 1000.0 / sampling_rate)
     first, second = np.concatenate(parts[:6]), np.concatenate(parts[6:])

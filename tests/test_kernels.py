@@ -175,3 +175,61 @@ def test_average_rate_of_a_periodic_envelope():
     t = np.arange(10_000)
     rate, _ = d.average_rate(1 + np.cos(2 * np.pi * t / 800), 1000.0)
     assert rate == pytest.approx(75, abs=1.5)
+
+
+def test_lfilter_in_blocks_is_the_recursion():
+    r = np.random.default_rng(1)
+    for n in (1, 3, 63, 64, 65, 200):
+        for b, a in ((np.array([0.2]), np.array([1, -0.8])), k.get_filter("butter", "bandpass", 2, [5, 40], 1000.0)):
+            x, m = r.standard_normal((n, 2)), max(len(a), len(b)) - 1
+            full_b, full_a = np.r_[b, np.zeros(m + 1 - len(b))], np.r_[a, np.zeros(m + 1 - len(a))]
+            state, want = r.standard_normal((m, 2)), []
+            got, end = k.lfilter(b, a, x, state)
+            for v in x:
+                y = full_b[0] * v + state[0]
+                state = np.vstack([state[1:], np.zeros(2)]) + np.outer(full_b[1:], v) - np.outer(full_a[1:], y)
+                want.append(y)
+            assert np.allclose(got, want) and np.allclose(end, state)
+
+
+def test_distances_by_their_definitions():
+    r = np.random.default_rng(2)
+    a, b = r.standard_normal((5, 6)), r.standard_normal((4, 6))
+    vi = np.diag(np.arange(1.0, 7))
+    one = {
+        "euclidean": lambda x, y: sum((p - q) ** 2 for p, q in zip(x, y)) ** 0.5,
+        "cityblock": lambda x, y: sum(abs(p - q) for p, q in zip(x, y)),
+        "chebyshev": lambda x, y: max(abs(p - q) for p, q in zip(x, y)),
+        "canberra": lambda x, y: sum(abs(p - q) / (abs(p) + abs(q)) for p, q in zip(x, y)),
+        "braycurtis": lambda x, y: sum(abs(p - q) for p, q in zip(x, y)) / sum(abs(p + q) for p, q in zip(x, y)),
+        "correlation": lambda x, y: 1 - np.corrcoef(x, y)[0, 1],
+        "mahalanobis": lambda x, y: float((x - y) @ vi @ (x - y)) ** 0.5,
+    }
+    for name, f in one.items():
+        got = k.distances(a, b, name, **({"vi": vi} if name == "mahalanobis" else {}))
+        assert np.allclose(got, [[f(x, y) for y in b] for x in a]), name
+    assert np.allclose(k.distances(a, b, lambda x, y: abs(x[0] - y[0])), np.abs(np.subtract.outer(a[:, 0], b[:, 0])))
+    p, q = np.array([[1.0, 1, 0, 0, 1], [0, 0, 0, 0, 0]]), np.array([[1.0, 0, 1, 0, 1]])
+    # Of the first pair two places are set in both, one in either alone, one in none.
+    want = {"dice": 2 / 6, "jaccard": 2 / 4, "kulsinski": 5 / 7, "matching": 2 / 5, "rogerstanimoto": 4 / 7, "russellrao": 3 / 5, "sokalmichener": 4 / 7, "sokalsneath": 4 / 6, "yule": 2 / 3}
+    for name, d in want.items():
+        assert abs(k.distances(p, q, name)[0, 0] - d) < 1e-12, name
+        assert k.distances(p[1:], p[1:], name)[0, 0] == (1 if name in ("russellrao", "kulsinski") else 0), name
+    for bad in ({"metric": "none"}, {"metric": "cityblock", "w": [1.0] * 6}):
+        with pytest.raises(ValueError):
+            k.distances(a, b, **bad)
+
+
+def test_detectors_find_the_beats_of_a_train():
+    """Golden vectors: in a noisy train each detector of heart beats finds each beat once, near its R peak."""
+    r = np.random.default_rng(3)
+    names = {1000.0: ("christov", "hamilton"), 500.0: ("christov", "hamilton", "engzee", "asi"), 250.0: ("christov", "hamilton", "engzee")}
+    for fs in names:
+        parts = [beat(fs, 0.02, s)[0] for s in range(15)]
+        ends = np.cumsum([len(x) for x in parts])
+        x = np.concatenate(parts) + 0.005 * r.standard_normal(int(ends[-1]))
+        tops = np.array([int(np.argmax(x[e - len(p) : e])) + e - len(p) for e, p in zip(ends, parts)])
+        for name in names[fs]:
+            found = np.asarray(getattr(d, name)(x, fs))
+            near = [int((np.abs(found - t) <= 0.06 * fs).sum()) for t in tops]
+            assert sum(n == 1 for n in near) >= 13 and len(found) <= 16, (name, fs, near, len(found))

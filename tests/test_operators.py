@@ -242,3 +242,73 @@ def test_results_and_names():
     u.clear("t")
     with pytest.raises(KeyError):
         u.tac("t")
+
+
+def test_errors_of_a_kernel_are_raised(spark):
+    from pulsegrid.functions.kernels import NoResult
+    from pulsegrid.operators import packed
+
+    df = spark.createDataFrame([(s, i, float(i % 3)) for s in (1, 2) for i in range(4 * s)], "signal_id long, i long, x double")
+
+    def short(x):
+        if len(x) < 5:
+            raise NoResult("short")
+        return {"i": np.arange(len(x))}
+
+    assert packed.per_signal(df, short, "i long").count() == 8
+    with pytest.raises(Exception, match="a bug"):
+        packed.per_signal(df, lambda x: (_ for _ in ()).throw(ValueError("a bug")), "i long").count()
+    assert packed.filter_signal(df, "butter", "lowpass", 4, 40, 1000.0).count() == 0  # too short
+
+
+def test_close_pairs_in_blocks(spark, monkeypatch):
+    from pulsegrid.operators import metrics
+
+    monkeypatch.setattr(metrics, "BLOCK", 7)
+    r = np.random.default_rng(0)
+    x = r.standard_normal((60, 3)) * np.linspace(0.2, 3, 60)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    every = {(q["i"], q["j"]): q["d"] for q in metrics.pdist(rows).collect()}
+    assert len(every) == 60 * 59 // 2 and all(abs(d[i, j] - v) < 1e-9 and i < j for (i, j), v in every.items())
+    for eps in (0.3, 1.0, 100.0):
+        assert {(q["i"], q["j"]) for q in metrics.close_pairs(rows, eps).collect()} == {(i, j) for i in range(60) for j in range(i + 1, 60) if d[i, j] <= eps}
+    assert metrics.pdist(rows, lambda a, b: float(a[0] - b[0])).where("abs(d) > 0").count() == 60 * 59 // 2
+    assert metrics.pdist(rows.limit(0)).count() == 0 and metrics.cdist(rows, rows.limit(3)).count() == 180
+    square = metrics.squareform(metrics.pdist(rows))
+    assert metrics.squareform(square, checks=True).count() == 60 * 59 // 2
+    with pytest.raises(ValueError):
+        metrics.squareform(square.where("i <= j"), checks=True)
+
+
+def test_profile_in_blocks(spark, monkeypatch):
+    from pulsegrid.operators import signal
+
+    r = np.random.default_rng(1)
+    x = r.integers(0, 5, 60).astype(float)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "signal_id long, i long, x double")
+    whole = signal.matrix_profile(df, None, 6).orderBy("start").collect()
+    monkeypatch.setattr(signal, "PROFILE_BLOCK", 11)
+    assert signal.matrix_profile(df, None, 6).orderBy("start").collect() == whole and len(whole) == 55
+    assert signal.matrix_profile(df, None, 6, limit=F.col("start") < 9).count() == 9
+
+
+def test_stored_objects_and_results(tmp_path):
+    import copy
+    import pickle
+
+    from pulsegrid.operators.utils import Result
+    from pulsegrid.sources import store, synthetic
+
+    store.serialize({"a": [1, 2]}, str(tmp_path / "x"), 9)
+    assert store.deserialize(str(tmp_path / "x")) == {"a": [1, 2]}
+    with pytest.raises(ValueError):
+        store.serialize(1, str(tmp_path / "y"), 10)
+    one = Result(a=1, b="x")
+    for other in (copy.copy(one), pickle.loads(pickle.dumps(one))):
+        assert other.as_dict() == {"a": 1, "b": "x"} and other.__getnewargs__() == ((1, "x"),)
+    for bad in ({"Kb": 131}, {"Ap": 0.6}, {"Kr": 9}, {"sm": 0}):
+        with pytest.raises(ValueError):
+            synthetic.beat(**bad)
+    with pytest.raises(TypeError):
+        synthetic.beat(var=2)
