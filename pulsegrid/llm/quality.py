@@ -17,6 +17,9 @@ from .words import as_bytes, portions
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Labelled documents that the network is fitted on, at most.
 MAX_TRAINING = 8_000
+#: Passages of one training text that the network is fitted on, at most, evenly spaced over the text; so fitting has a bound in
+#: memory. All passages of every text are scored.
+MAX_PASSAGES = 128
 #: Words to a passage.
 PASSAGE = 64
 HIDDEN, GATE, HASHED, STEPS, BATCH, RATE, SEED = 24, 12, 32, 1_750, 64, 4e-3, 11
@@ -136,7 +139,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, count = passages(as_bytes(batch.column(1)), facts)
         cuts = np.cumsum(count)
-        yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(2), "x": pa.array([x[b - n : b].tobytes() for b, n in zip(cuts, count, strict=True)], pa.binary())})
+        chosen = [x[b - n + np.unique(np.linspace(0, n - 1, min(n, MAX_PASSAGES)).astype(int))] for b, n in zip(cuts, count, strict=True)]
+        yield pa.RecordBatch.from_pydict({"id": batch.column(0), "label": batch.column(2), "x": pa.array([c.tobytes() for c in chosen], pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAINING) -> GatedAttention | None:

@@ -226,7 +226,7 @@ def test_pack(stored, monkeypatch):
 
 def test_bins_are_the_tightest_compatible():
     r = random.Random(3)
-    fast, slow = p.Bins(50, 2), []
+    fast, slow = p.Bins(50, 2, (1, 4)), []
     for _ in range(400):
         n, source, cluster = r.randrange(1, 30), 1 << r.randrange(4), 1 << r.randrange(6) if r.random() < 0.5 else 0
         at, offset = fast.place(n, source, cluster)
