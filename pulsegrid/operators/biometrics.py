@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,11 +138,50 @@ def combination(votes: DataFrame) -> DataFrame:
 # --- k nearest neighbours ------------------------------------------------------------------------------------------
 
 
-def ranked(probes: DataFrame, templates: DataFrame, metric: str = "euclidean", digits: int = 9, **options) -> DataFrame:
-    """(subject, sample_id, claimed, template_id, d): probes against all templates, computed once for all thresholds."""
-    p = probes.select("subject", "sample_id", F.col("v").alias("a"))
-    t = templates.select(F.col("subject").alias("claimed"), F.col("sample_id").alias("template_id"), F.col("v").alias("b"))
-    return p.crossJoin(t).select("subject", "sample_id", "claimed", "template_id", F.round(distance(F.col("a"), F.col("b"), metric, **options), digits).alias("d"))
+#: Probes, templates and machines to a block; a task holds two blocks.
+BLOCK, MACHINES = 1_024, 64
+RANKED = "subject string, sample_id long, claimed string, template_id long, d double"
+
+
+def _dealt(rows: DataFrame, size: int, name: str, *by: str) -> tuple[DataFrame, int]:
+    n = max(1, -(-rows.count() // size))
+    return rows.withColumn(name, F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")), n
+
+
+def _nearest_of_each(probes: pa.Table, templates: pa.Table, metric: str, digits: int, kk: int | None, options: dict) -> pa.Table:
+    """Of each claimed subject's templates in a block the kk nearest to each probe of another, all without kk."""
+    columns: dict[str, list] = {c.split()[0]: [] for c in RANKED.split(", ")}
+    if probes.num_rows and templates.num_rows:
+        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        d = k.distances(matrix(probes), matrix(templates), metric, **options)
+        claimed, ids = np.array(templates.column("subject").to_pylist(), object), np.asarray(templates.column("sample_id"))
+        for who in sorted(set(claimed)):
+            own = np.flatnonzero(claimed == who)
+            order = np.lexsort((np.broadcast_to(ids[own], (len(d), len(own))), np.round(d[:, own], digits)), axis=1)[:, :kk]
+            at = own[order]
+            row = np.repeat(np.arange(len(d)), at.shape[1])
+            columns["subject"].append(probes.column("subject").take(pa.array(row)).combine_chunks())
+            columns["sample_id"].append(probes.column("sample_id").take(pa.array(row)).combine_chunks())
+            columns["claimed"].append(pa.array([who] * len(row), pa.string()))
+            columns["template_id"].append(pa.array(ids[at.ravel()], pa.int64()))
+            columns["d"].append(pa.array(d[row, at.ravel()], pa.float64()))
+    kinds = {"subject": pa.string(), "claimed": pa.string(), "d": pa.float64()}
+    return pa.table({c: pa.concat_arrays(x) if x else pa.array([], kinds.get(c, pa.int64())) for c, x in columns.items()})
+
+
+def ranked(probes: DataFrame, templates: DataFrame, metric: str = "euclidean", digits: int = 9, kk: int | None = None, **options) -> DataFrame:
+    """(subject, sample_id, claimed, template_id, d): probes against all templates, computed once for all thresholds.
+
+    With kk only each subject's kk nearest templates in a block are kept, which hold its kk nearest of all, ties at `digits`
+    places going to the smaller template.
+    """
+    slim = lambda t: t.select(F.col("subject").cast("string").alias("subject"), F.col("sample_id").cast("long").alias("sample_id"), F.col("v").cast("array<double>").alias("v"))
+    (p, n), (t, m) = _dealt(slim(probes), BLOCK, "x", "subject", "sample_id"), _dealt(slim(templates), BLOCK, "y", "subject", "sample_id")
+    p = p.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("subject", "sample_id", "v", "x", "y")
+    t = t.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("subject", "sample_id", "v", "x", "y")
+    t = t.toDF(*t.columns)  # columns of their own, as both may come from one table
+    met = p.groupBy("x", "y").cogroup(t.groupBy("x", "y")).applyInArrow(lambda a, b: _nearest_of_each(a, b, metric, digits, kk, options), RANKED)
+    return met.withColumn("d", F.round("d", digits))
 
 
 def knn_authenticate(pairs: DataFrame, thresholds: DataFrame, kk: int = 3) -> DataFrame:
@@ -366,10 +406,10 @@ class KNN(Classifier):
         return threshold_grid(self.spark, high)
 
     def verify(self, probes: DataFrame, thresholds: DataFrame) -> DataFrame:
-        return knn_authenticate(ranked(probes, self.templates, self.metric), thresholds, self.k)
+        return knn_authenticate(ranked(probes, self.templates, self.metric, kk=self.k), thresholds, self.k)
 
     def recognise(self, probes: DataFrame, thresholds: DataFrame) -> DataFrame:
-        return knn_identify(ranked(probes, self.templates, self.metric), thresholds, self.k)
+        return knn_identify(ranked(probes, self.templates, self.metric, kk=self.k), thresholds, self.k)
 
 
 # --- support vector machines -----------------------------------------------------------------------------------------
@@ -443,17 +483,26 @@ class SVM(Classifier):
             raise UntrainedError
         p = self.parameters()
 
-        @F.pandas_udf("double")
-        def decide(v: pd.Series, vectors: pd.Series, weights: pd.Series, bias: pd.Series, alone: pd.Series) -> pd.Series:
-            out = []
-            for a, b, w, c, one in zip(v, vectors, weights, bias, alone, strict=True):
-                x, sv = np.asarray(a, float)[None, :], np.array([np.asarray(r, float) for r in b])
-                fcn = _kernel("rbf" if one else p["kernel"], p["gamma"] or 1 / x.shape[1], p["degree"], p["coef0"])
-                out.append(float(np.asarray(w, float) @ fcn(sv, x)[:, 0] + c))
-            return pd.Series(out)
-
-        side = decide("v", "vectors", "weights", "bias", F.col("two").isNull())
-        each = probes.crossJoin(self.models).withColumn("side", side)
+        kinds = "subject string, sample_id long, one string, two string, side double"
+
+        def decide(rows: pa.Table, machines: pa.Table) -> pa.Table:
+            out: list[tuple] = []
+            if rows.num_rows and machines.num_rows:
+                x = np.array(rows.column("v").to_pylist(), float)
+                for m in machines.to_pylist():
+                    fcn = _kernel("rbf" if m["two"] is None else p["kernel"], p["gamma"] or 1 / x.shape[1], p["degree"], p["coef0"])
+                    side = np.asarray(m["weights"], float) @ fcn(np.array(m["vectors"], float).reshape(-1, x.shape[1]), x) + m["bias"]
+                    out += zip(rows.column("subject").to_pylist(), rows.column("sample_id").to_pylist(), [m["one"]] * len(x), [m["two"]] * len(x), side.tolist(), strict=True)
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64())
+            return pa.table({c.split()[0]: pa.array(list(v), t) for c, v, t in zip(kinds.split(", "), columns, types, strict=True)})
+
+        # Blocks of probes meet blocks of machines, each machine evaluating a block at once.
+        rows = probes.select(F.col("subject").cast("string").alias("subject"), F.col("sample_id").cast("long").alias("sample_id"), "v")
+        (rows, n), (machines, m) = _dealt(rows, BLOCK, "x", "subject", "sample_id"), _dealt(self.models, MACHINES, "y", "one", "two")
+        rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        machines = machines.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        each = rows.groupBy("x", "y").cogroup(machines.groupBy("x", "y")).applyInArrow(decide, kinds)
         winner = F.when(F.col("side") > 0, F.col("one")).when(F.col("side") < 0, F.col("two"))
         return each.select("subject", "sample_id", "one", "two", winner.alias("winner"))
 

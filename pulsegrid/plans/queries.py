@@ -44,7 +44,7 @@ def _knn(spark: SparkSession, sf_dir: str, levels: tuple[float, ...] = THRESHOLD
 
 def _decisions(spark: SparkSession, sf_dir: str, levels: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     probes, templates, thresholds = _knn(spark, sf_dir, levels)
-    pairs = bio.ranked(probes, templates, digits=6)
+    pairs = bio.ranked(probes, templates, digits=6, kk=3)
     return bio.knn_authenticate(pairs, thresholds).join(bio.knn_identify(pairs, thresholds), ["subject", "sample_id", "threshold"])
 
 
@@ -170,8 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "create_ensemble": lambda k, d: c.create_ensemble(v.waves(k, d), c.dbscan, {"min_samples": [3, 4], "eps": [9.0, 9.5]}),
     "consensus": lambda k, d: c.consensus(v.waves(k, d), c.dbscan, {"min_samples": [3, 4], "eps": [9.0, 9.5]}, 3),
     # Biometrics.
-    "knn_authenticate": lambda k, d: bio.knn_authenticate(bio.ranked(*_knn(k, d)[:2], digits=6), _knn(k, d)[2]),
-    "knn_identify": lambda k, d: bio.knn_identify(bio.ranked(*_knn(k, d)[:2], digits=6), _knn(k, d)[2]),
+    "knn_authenticate": lambda k, d: bio.knn_authenticate(bio.ranked(*_knn(k, d)[:2], digits=6, kk=3), _knn(k, d)[2]),
+    "knn_identify": lambda k, d: bio.knn_identify(bio.ranked(*_knn(k, d)[:2], digits=6, kk=3), _knn(k, d)[2]),
     "subject_results": lambda k, d: bio.subject_results(_decisions(k, d)),
     "assess_classification": lambda k, d: rounded(bio.assess_classification(bio.subject_results(_decisions(k, d)))),
     "assess_runs": lambda k, d: rounded(bio.assess_runs(_runs(k, d))),
