@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from .metrics import close_pairs, pdist, squareform
-from .utils import highest_averages
+from .utils import highest_averages, stored
 
 NOISE = -1
 
@@ -25,19 +25,19 @@ def dbscan(rows: DataFrame, min_samples: int = 5, eps: float = 0.5, metric: str
 
     Labels travel along links, and through the rows that they name, until none changes; each round is stored.
     """
-    near = _stored(close_pairs(rows, eps, metric, **options).select("i", "j"))
+    near = stored(close_pairs(rows, eps, metric, **options).select("i", "j"))
     both = near.union(near.select("j", "i"))
     degree = rows.select("row_id").join(both.groupBy("i").agg(F.count(F.lit(1)).alias("n")), F.col("row_id") == F.col("i"), "left")
-    core = _stored(degree.where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("row_id"))
+    core = stored(degree.where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("row_id"))
     links = both.join(core.withColumnRenamed("row_id", "i"), "i", "left_semi").join(core.withColumnRenamed("row_id", "j"), "j", "left_semi").select("i", "j")
-    links = _stored(links)
+    links = stored(links)
     labels = core.withColumn("label", F.col("row_id"))
     for _ in range(max_rounds):
         offered = links.join(labels.withColumnRenamed("row_id", "j"), "j").groupBy("i").agg(F.min("label").alias("offer"))
         lower = labels.join(offered, labels["row_id"] == offered["i"], "left").select("row_id", F.least("label", F.coalesce("offer", "label")).alias("label"), F.col("label").alias("before"))
         jump = lower.select(F.col("row_id").alias("named"), F.col("label").alias("next"))
         moved = lower.join(jump, F.col("label") == F.col("named"), "left").select("row_id", F.least("label", F.coalesce("next", "label")).alias("label"), "before")
-        moved = _stored(moved)
+        moved = stored(moved)
         labels = moved.select("row_id", "label")
         if moved.where("label <> before").isEmpty():
             break
@@ -49,11 +49,6 @@ def dbscan(rows: DataFrame, min_samples: int = 5, eps: float = 0.5, metric: str
     return rows.select("row_id").join(known, "row_id", "left").join(numbers, "label", "left").select("row_id", F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names, or just the frame where it names none."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def _tree(square: DataFrame, size: int, linkage: str, number: int) -> DataFrame:
     """(row_id, cluster) from distances (i, j, d), merged in one task: it holds the square of the rows."""
 

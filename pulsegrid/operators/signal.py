@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from .utils import numbered
 
 KEY = "signal_id"
 #: Query windows that one task of a matrix profile searches for.
@@ -185,9 +186,8 @@ def windower_array(df: DataFrame, size: int, step: int | None, fcn: Callable[[np
 def waves(df: DataFrame, size: int, step: int | None = None, how: str = "mean", order: str = "row_id", vector: str = "v") -> DataFrame:
     """(start, wave): positionwise mean or median of each block of `size` rows in order."""
     step = step or size
-    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)).cast("long") - 1
-    rows = df.select(i.alias("i"), vector).select("i", F.posexplode(vector).alias("p", "x"))
-    n = df.count()
+    placed_rows, n = numbered(df.select(F.col(order).alias("o"), vector), "i", "o")
+    rows = placed_rows.select("i", F.posexplode(vector).alias("p", "x"))
     low, high = F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / step)), F.least(F.floor(F.col("i") / step), F.floor(F.lit((n - size) / step)))
     placed = rows.withColumn("low", low).withColumn("high", high).where("high >= low").withColumn("turn", F.explode(F.sequence("low", "high"))).withColumn("start", F.col("turn") * step)
     value = F.avg("x") if how == "mean" else F.median("x")

@@ -44,12 +44,33 @@ def _draw(key: str, *turn: Column) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), *[t.cast("string") for t in turn]))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names, or just the frame where it names none."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
+    """rows with each one's place in a total order, from 0, and how many there are.
+
+    No task gets all rows: ranges of the order are sorted apart, each starting where those before it end.
+    """
+    parts = stored(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        starts.append(total)
+        total += sizes.get(part, 0)
+    start = F.element_at(F.array(*[F.lit(x) for x in starts]), F.col("__part") + 1) if starts else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1 + start
+    return parts.withColumn(name, place.cast("long")).drop("__part"), total
+
+
 def random_fraction(rows: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
     """Adds `use`: true for the given fraction of the rows, the first in order of a seeded hash."""
     if not 0 <= fraction <= 1:
         raise ValueError("a fraction is between 0 and 1")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(_draw(key, F.lit(seed)), key))
-    return rows.withColumn("use", place <= F.floor(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * fraction))
+    placed, n = numbered(rows.withColumn("__draw", _draw(key, F.lit(seed))), "__place", "__draw", key)
+    return placed.withColumn("use", F.col("__place") < int(n * fraction + 1e-9)).drop("__draw", "__place")
 
 
 def cross_validation(rows: DataFrame, label: str, key: str, n_iter: int = 10, test_size: float = 0.1, seed: int = 0) -> DataFrame:
