@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import cut, forget, hot_limit, join_groups
 
 MAX_ROUNDS = 60
+#: Edges that one task joins up by itself, 16 bytes each and some working space.
+EDGES = 1_000_000
 
 
 def _least(edges: DataFrame, rows: int) -> DataFrame:
@@ -52,12 +54,11 @@ def _stars(edges: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in links (a, b): root is the least id that it is linked to, over any path.
 
-    Each round every task first joins up the edges of its own partition, whose size Spark bounds. Then large-star and
-    small-star: every node hangs its larger neighbours, then its smaller ones, under the least of them, until all
-    are stars. Each round's edges are stored in the shared folder.
+    Each round every task first joins up about EDGES edges by itself. Then large-star and small-star: every node hangs its
+    larger neighbours, then its smaller ones, under the least of them, until all are stars. Each round's edges are
+    stored in the shared folder.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    edges = cut(edges.distinct().mapInArrow(_join_up, "u long, v long"))
+    edges = _joined_up(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
     for _ in range(MAX_ROUNDS):
         if _stars(edges):
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
@@ -66,7 +67,15 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least(large, rows)
-        edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = cut(edges.distinct().mapInArrow(_join_up, "u long, v long"))
+        edges = _joined_up(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v"))
         forget(old)
     raise RuntimeError("components did not settle")
+
+
+def _joined_up(edges: DataFrame) -> DataFrame:
+    """Distinct edges, joined up task by task; stored."""
+    stored = cut(edges.distinct())
+    tasks = max(1, -(-stored.count() // EDGES))
+    out = cut(stored.repartition(tasks).mapInArrow(_join_up, "u long, v long"))
+    forget(stored)
+    return out

@@ -105,14 +105,13 @@ def test_signatures_estimate_weighted_similarity():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.025
 
 
-@pytest.mark.parametrize("coalesce", ["true", "false"])
-def test_components(spark, coalesce):
-    """Without coalescing the edges stay in four tasks, so that rounds are needed."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+@pytest.mark.parametrize("edges", [10, 10**6])
+def test_components(spark, monkeypatch, edges):
+    """With few edges to a task rounds of stars are needed."""
+    monkeypatch.setattr(c, "EDGES", edges)
     r = random.Random(1)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(40)] + [(200, i) for i in range(201, 260)]
     got = {x["id"]: x["root"] for x in c.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     up = {i: i for e in links for i in e}
 
     def root(i):
