@@ -289,3 +289,25 @@ def test_commonest_words(spark):
     assert [int(w) for w in lm.commonest(counts, 3)["word"].to_pylist()] == [4, 5, 0]
     assert [int(w) for w in lm.commonest(counts, 6)["word"].to_pylist()] == [4, 5, 0, 1, 2, 3]
     assert lm.commonest(counts, 0).num_rows == 0 and lm.commonest(counts.limit(0)).num_rows == 0
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns; and empty tables."""
+    r = random.Random(5)
+    words = lambda n: " ".join(r.choice("the good words of a plain text that one reads and keeps".split()) + str(r.randrange(50)) for _ in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, id string, label int, __file long, c0 string"
+    rows = [(i, words(r.randrange(20, 90)), "en", f"s{i % 3}", 5, i, "x", 1, 7, "c") for i in range(60)]
+    rows += [(None, words(40), None, None, None, None, None, None, None, None), (100, None, "en", "s0", None, 1, "x", 1, 7, "c"), (101, "", "en", None, 0, 1, "x", 1, 7, "c")]
+    rows += [(102, words(30_000), "en", "s1", 1, 1, "x", 1, 7, "c"), rows[3], rows[3], (103, rows[4][1].upper(), "en", "s2", 1, 1, "x", 1, 7, "c")]
+    labels = [(i, i % 2, 0) for i in range(0, 60, 2)] + [(None, 1, None), (7, None, None), (7, 1, 1)]
+    for name, docs, marks in (("some", rows, labels), ("none", [], [])):
+        spark.createDataFrame(docs, schema).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, docs, f"file://{tmp_path}/{name}")
+            assert out.columns == docs.columns
+            out.write.parquet(f"file://{tmp_path}/{name}/stage{k}")
+            docs = spark.read.parquet(f"file://{tmp_path}/{name}/stage{k}")
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, f"file://{tmp_path}/{name}").collect()
+        assert {p["doc_id"] for p in packed} <= {x[0] for x in rows} and (name == "some") == (len(packed) > 0)
