@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .signal import KEY, by_signal, find_extrema, whole, zero_cross
+from .signal import KEY, by_signal, find_extrema, welch_spectrum, whole, zero_cross
 
 
 def around(df: DataFrame, beats: DataFrame, before: int, after: int) -> DataFrame:
@@ -147,6 +147,27 @@ def zz2018(scores: DataFrame, mode: str = "simple") -> DataFrame:
     return scores.select(KEY, F.when(missing, "Unacceptable").otherwise(word).alias("quality"))
 
 
+def signal_quality(df: DataFrame, one: DataFrame, two: DataFrame, sampling_rate: float = 1000.0, search_window: float = 100, size: int = 1024, mode: str = "simple") -> DataFrame:
+    """(signal_id, quality) of signals and the beats that two detectors find in them: zz2018 of its four scores.
+
+    search_window is in ms. A signal without beats of both, or shorter than a window of `size` samples, is unacceptable.
+    """
+    spectrum = welch_spectrum(df, sampling_rate, size, decibel=False, scaling="density", double=False)
+    gap = F.col("i") - F.lag("i").over(by_signal())
+    fastest = one.withColumn("gap", gap).groupBy(KEY).agg(F.coalesce(F.try_divide(F.lit(60.0 * sampling_rate), F.min("gap")), F.lit(1.0)).alias("max_rate"))
+    scores = (
+        df.select(KEY).distinct()
+        .join(bsqi(one, two, "matching", int(search_window / 1000 * sampling_rate)), KEY, "left")
+        .join(fsqi(spectrum, (5, 15), (5, 40)), KEY, "left")
+        .join(sample_sqi(df).select(KEY, "ksqi"), KEY, "left")
+        .join(fsqi(spectrum, (0, 1), (0, 40), "bas").withColumnRenamed("fsqi", "bas"), KEY, "left")
+        .join(fastest, KEY, "left")
+    )
+    found = two.select(KEY).distinct().withColumn("both", F.lit(True))
+    scores = scores.join(found, KEY, "left").withColumn("bsqi", F.when(F.col("both"), F.col("bsqi")))
+    return zz2018(scores, mode)
+
+
 def template_positions(beats: DataFrame, r: int = 100, p_end: int = 80, t_start: int = 170, beat: str = "beat") -> DataFrame:
     """Adds q, q_start, s, s_end, p, p_start, p_end, t, t_start, t_end: places in each beat array, null where there is none."""
     b = F.col(beat)

@@ -227,10 +227,18 @@ def unpaired_test(xy: DataFrame) -> DataFrame:
 
 
 def cross_correlation(xy_x: DataFrame, xy_y: DataFrame, detrend: bool = True) -> DataFrame:
-    """(signal_id, lag, c): sum of x[i + lag] * y[i], over all lags."""
-    flat = (lambda d: d.select(KEY, "i", (F.col("x") - F.avg("x").over(whole())).alias("x"))) if detrend else (lambda d: d)
-    x, y = flat(xy_x), flat(xy_y).select(KEY, F.col("i").alias("j"), F.col("x").alias("y"))
-    return x.join(y, KEY).groupBy(KEY, (F.col("i") - F.col("j")).alias("lag")).agg(F.sum(F.col("x") * F.col("y")).alias("c"))
+    """(signal_id, lag, c): sum of x[i + lag] * y[i], over all lags at which the signals overlap, by FFT of whole signals."""
+    kind = xy_x.schema[KEY].dataType.simpleString()
+    slim = lambda d: d.select(KEY, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
+    x, y = slim(xy_x), slim(xy_y)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        lag, c = np.zeros(0, np.int64), np.zeros(0)
+        if a.num_rows and b.num_rows:
+            lag, c = kernels.correlation(*(np.asarray(t.column(n)) for t in (a, b) for n in ("i", "x")), detrend)
+        return pa.table({KEY: (a if a.num_rows else b).column(KEY).take(pa.array(np.zeros(len(lag), np.int64))), "lag": lag, "c": c})
+
+    return x.groupBy(KEY).cogroup(y.toDF(*y.columns).groupBy(KEY)).applyInArrow(run, f"{KEY} {kind}, lag long, c double")
 
 
 def synchronize(x: DataFrame, y: DataFrame, detrend: bool = True, digits: int = 9) -> DataFrame:
@@ -300,19 +308,23 @@ def welch_spectrum(df: DataFrame, sampling_rate: float = 1000.0, size: int | Non
 
     `double` doubles the power once more, as the toolbox does that this replaces; scaling may be "density".
     """
+    if scaling not in ("spectrum", "density"):
+        raise ValueError("scaling must be 'spectrum' or 'density'")
     size = int(size or sampling_rate)
     step = size - (size // 2 if overlap is None else overlap)
-    rows = windows(df, size, step).withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(KEY, "start")))
-    weighted = rows.withColumn("x", F.col("x") * hann(size, symmetric=False)).withColumnRenamed("k", "i")
-    bins = weighted.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size // 2))))
-    angle = F.lit(-2.0) * F.pi() * F.pmod(F.col("k") * F.col("i"), F.lit(size)) / F.lit(size)
-    each = bins.groupBy(KEY, "start", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    sum_w, sum_w2 = size / 2.0, 3.0 * size / 8.0
-    scale = 1.0 / (sum_w * sum_w) if scaling == "spectrum" else 1.0 / (sampling_rate * sum_w2)
-    sides = F.when((F.col("k") == 0) | (F.lit(size % 2 == 0) & (F.col("k") == size // 2)), 1.0).otherwise(2.0)
-    power = F.avg((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * F.lit(scale) * sides) * (2.0 if double else 1.0)
-    out = each.groupBy(KEY, "k").agg(power.alias("power"))
-    return out.select(KEY, F.col("k").cast("long").alias("k"), (F.col("k") * F.lit(float(sampling_rate)) / size).alias("freq"), (F.lit(10.0) * F.log10("power") if decibel else F.col("power")).alias("power"))
+    if step < 1:
+        raise ValueError("windows must overlap by less than their size")
+    # The Hann window's sum, and that of its squares.
+    scale = 4.0 / (size * size) if scaling == "spectrum" else 8.0 / (3.0 * size * sampling_rate)
+    kind = df.schema[KEY].dataType.simpleString()
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = np.asarray(rows.sort_by("i").column("x"), float)
+        power = kernels.mean_periodogram(x, size, step) * (scale * (2.0 if double else 1.0))
+        return pa.table({KEY: pa.repeat(rows.column(KEY)[0], len(power)), "k": np.arange(len(power), dtype=np.int64), "power": power})
+
+    out = df.select(KEY, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")).groupBy(KEY).applyInArrow(run, f"{KEY} {kind}, k long, power double")
+    return out.select(KEY, "k", (F.col("k") * F.lit(float(sampling_rate)) / size).alias("freq"), (F.lit(10.0) * F.log10("power") if decibel else F.col("power")).alias("power"))
 
 
 def band_power(spectrum: DataFrame, low: float, high: float, decibel: bool = True, key: list[str] | None = None) -> DataFrame:

@@ -219,6 +219,7 @@ QUERIES |= {
     "activity_londral": lambda k, d: p.activity(v.sig_user(k, d), "londral", rest=[0, 20], size=4, threshold=8.0, hold=2),
     "activity_abbink": lambda k, d: p.activity(v.sig_type(k, d), "abbink", rest=[0, 200], size=10, alarm_size=10, threshold=1.0, transition=1.0),
     "pipeline_ecg": lambda k, d: rounded(pipe.ecg(v.recordings(k, d)).heart_rate),
+    "signal_quality": lambda k, d: b.signal_quality(v.recordings(k, d), p.detect(v.recordings(k, d), "hamilton"), p.detect(v.recordings(k, d), "christov")),
     "pipeline_eda": lambda k, d: rounded(pipe.eda(v.sig_type(k, d), 100.0).responses),
     "pipeline_emg": lambda k, d: pipe.emg(v.recordings(k, d), 1000.0).onsets,
     "pipeline_abp": lambda k, d: pipe.abp(v.recordings(k, d)).onsets,
