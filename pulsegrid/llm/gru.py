@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN, WINDOW, RATE = 32, 32, 0.06
+#: Softmaxes over the classes are of so many words at a time, which a core's cache holds.
+ROWS = 2_048
 
 
 def word_classes(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -17,6 +19,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _descend(p: np.ndarray, seen: np.ndarray, v: np.ndarray) -> None:
+    """A step of p against the gradient v, by the sums of squares that v is added to; all in place."""
+    step = v * v
+    seen += step
+    np.add(seen, 1e-8, out=step)
+    np.sqrt(step, out=step)
+    np.divide(v, step, out=step)
+    step *= RATE
+    p -= step
+
+
 class Gru:
     """P(word | past) = P(class | state) * P(word | class, state). Word ids are grouped by class in rising order.
 
@@ -59,72 +72,118 @@ class Gru:
     def word_logs(self, h: np.ndarray, y: np.ndarray, learn: bool = False) -> tuple:
         """Natural logs of P(y | h); if learning, also the mean loss's gradients for C, c, h, and of_class: for W and w in the rows of each class met."""
         p, n = self.p, len(y)
-        logits = h @ p["C"] + p["c"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
         own = self.cls[y]
-        out = (logits[np.arange(n), own] - np.log(total)).astype(np.float64)
         order = np.argsort(own.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(len(self.first)))
-        g = None
+        own, h, y = own[order], h[order], y[order]
+        cuts = np.searchsorted(own, np.arange(len(self.first)))
+        each, out, g, past = np.arange(n), np.empty(n), None, np.empty((n, HIDDEN), h.dtype)
         if learn:
-            d = e / total[:, None] / n
-            d[np.arange(n), own] -= 1 / n
-            g = {"C": h.T @ d, "c": d.sum(0), "of_class": [], "h": d @ p["C"].T}
+            g = {"C": np.zeros_like(p["C"]), "c": np.zeros_like(p["c"]), "of_class": []}
+        for i in range(0, n, ROWS):
+            some, mine, to = h[i : i + ROWS], own[i : i + ROWS], slice(i, i + ROWS)
+            e = some @ p["C"]
+            e += p["c"]
+            e -= e.max(1, keepdims=True)
+            out[to] = e[each[: len(some)], mine]
+            np.exp(e, out=e)
+            total = e.sum(1)
+            out[to] -= np.log(total)
+            if learn:
+                e *= (1 / (total * n))[:, None]
+                e[each[: len(some)], mine] -= 1 / n
+                g["C"] += some.T @ e
+                g["c"] += e.sum(0)
+                past[to] = e @ p["C"].T
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            at, a, b = order[cuts[k] : cuts[k + 1]], self.first[k], self.first[k + 1]
-            x = h[at] @ p["W"][a:b].T + p["w"][a:b]
+            i, j, a, b = cuts[k], cuts[k + 1], self.first[k], self.first[k + 1]
+            x = h[i:j] @ p["W"][a:b].T
+            x += p["w"][a:b]
             x -= x.max(1, keepdims=True)
-            ex = np.exp(x)
-            sums = ex.sum(1)
-            pick = (np.arange(len(at)), y[at] - a)
-            out[at] += x[pick] - np.log(sums)
+            pick = (each[: j - i], y[i:j] - a)
+            out[i:j] += x[pick]
+            np.exp(x, out=x)
+            sums = x.sum(1)
+            out[i:j] -= np.log(sums)
             if learn:
-                d = ex / sums[:, None] / n
-                d[pick] -= 1 / n
-                g["of_class"].append((slice(a, b), d.T @ h[at], d.sum(0)))
-                g["h"][at] += d @ p["W"][a:b]
-        return out, g
+                x *= (1 / (sums * n))[:, None]
+                x[pick] -= 1 / n
+                g["of_class"].append((slice(a, b), x.T @ h[i:j], x.sum(0)))
+                past[i:j] += x @ p["W"][a:b]
+        logs = np.empty(n)
+        logs[order] = out
+        if learn:
+            g["h"] = np.empty_like(past)
+            g["h"][order] = past
+        return logs, g
 
     def learn(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, seen: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
         """One window of truncated backpropagation: words x, next words y, where a text is fresh, all (steps, streams).
 
         h: the states carried in; seen: sums of squared gradients, for the step sizes. Gives the last states and the loss.
+        Within the window a column is a stream, so that each gate's numbers lie together.
         """
-        p, n, past, gates = self.p, HIDDEN, [], []
-        for t in range(len(x)):
-            h = h * ~fresh[t][:, None]
-            past.append(h)
-            *g, h = self.step(x[t], h)
-            gates.append((*g, h))
-        logs, grad = self.word_logs(np.concatenate([g[-1] for g in gates]), y.ravel(), learn=True)
-        out = grad.pop("h").reshape(len(x), -1, n)
-        d_a, d_b, dh = np.zeros((*x.shape, 3 * n), np.float32), np.zeros((*x.shape, 3 * n), np.float32), np.zeros_like(h)
-        for t in reversed(range(len(x))):
-            z, r, new, b_new, _ = gates[t]
-            dh = dh + out[t]
-            d_new = dh * (1 - z) * (1 - new * new)
-            dz, dr = dh * (past[t] - new) * z * (1 - z), d_new * b_new * r * (1 - r)
-            d_a[t] = np.concatenate([dz, dr, d_new], 1)
-            d_b[t] = np.concatenate([dz, dr, d_new * r], 1)
-            dh = (dh * z + d_b[t] @ p["U"].T) * ~fresh[t][:, None]
-        flat_b = d_b.reshape(-1, 3 * n)
-        grad["U"], grad["u"] = np.concatenate(past).T @ flat_b, flat_b.sum(0)
+        p, n, (steps, streams) = self.p, HIDDEN, x.shape
+        keep, breaks = (~fresh).astype(h.dtype), fresh.any(1)
         words, order = x.ravel(), np.argsort(x.ravel(), kind="stable")
+        inputs = p["X"][words]
+        inputs[:, : 2 * n] += p["u"][: 2 * n]
+        a = np.ascontiguousarray(inputs.reshape(steps, streams, 3 * n).transpose(0, 2, 1))
+        np.negative(a[:, : 2 * n], out=a[:, : 2 * n])
+        turned, bias = np.ascontiguousarray(p["U"].T), p["u"][2 * n :, None]
+        past, b, zr = np.empty((steps, n, streams), h.dtype), np.empty_like(a), np.empty((steps, 2 * n, streams), a.dtype)
+        new, after = np.empty((steps, n, streams), a.dtype), np.empty((steps, n, streams), a.dtype)
+        state = np.ascontiguousarray(h.T)
+        for t in range(steps):
+            past[t] = state
+            if breaks[t]:
+                past[t] *= keep[t]
+            state, bt, g, c = past[t], b[t], zr[t], new[t]
+            np.matmul(turned, state, out=bt)
+            np.subtract(a[t, : 2 * n], bt[: 2 * n], out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            bt[2 * n :] += bias
+            np.multiply(g[n:], bt[2 * n :], out=c)
+            c += a[t, 2 * n :]
+            np.tanh(c, out=c)
+            np.subtract(state, c, out=after[t])
+            after[t] *= g[:n]
+            after[t] += c
+            state = after[t]
+        logs, grad = self.word_logs(after.transpose(0, 2, 1).reshape(-1, n), y.ravel(), learn=True)
+        out = np.ascontiguousarray(grad.pop("h").reshape(steps, streams, n).transpose(0, 2, 1))
+        # What the gradient of a state is multiplied by for those of z, r and the new part, as it meets U.
+        z, r = zr[:, :n], zr[:, n:]
+        rest = 1 - z
+        of_new = rest * (1 - new * new)
+        by = np.empty((steps, 3, n, streams), a.dtype)
+        by[:, 0] = (past - new) * z * rest
+        by[:, 1] = of_new * b[:, 2 * n :] * r * (1 - r)
+        by[:, 2] = of_new * r
+        d, dh = np.zeros_like(after[0]), out
+        for t in reversed(range(steps)):
+            dh[t] += d
+            by[t] *= dh[t]
+            np.matmul(p["U"], by[t].reshape(3 * n, streams), out=d)
+            d += dh[t] * z[t]
+            if breaks[t]:
+                d *= keep[t]
+        d_b = by.reshape(steps, 3 * n, streams)
+        grad["U"], grad["u"] = np.matmul(past, d_b.transpose(0, 2, 1)).sum(0), d_b.sum((0, 2))
+        by[:, 2] = dh * of_new
         firsts = np.flatnonzero(np.r_[True, words[order][1:] != words[order][:-1]])
         rows = words[order][firsts]
-        for rows_of, *both in grad.pop("of_class"):
+        for of, *both in grad.pop("of_class"):
             for k, v in zip("Ww", both, strict=True):
-                seen[k][rows_of] += v * v
-                p[k][rows_of] -= RATE * v / np.sqrt(seen[k][rows_of] + 1e-8)
+                _descend(p[k][of], seen[k][of], v)
         for k, v in grad.items():
-            seen[k] += v * v
-            p[k] -= RATE * v / np.sqrt(seen[k] + 1e-8)
-        v = np.add.reduceat(d_a.reshape(-1, 3 * n)[order], firsts, axis=0)
-        seen["X"][rows] += v * v
-        p["X"][rows] -= RATE * v / np.sqrt(seen["X"][rows] + 1e-8)
-        return h, -float(logs.mean())
+            _descend(p[k], seen[k], v)
+        v = np.add.reduceat(d_b.transpose(0, 2, 1).reshape(-1, 3 * n)[order], firsts, axis=0)
+        at, sums = p["X"][rows], seen["X"][rows]
+        _descend(at, sums, v)
+        p["X"][rows], seen["X"][rows] = at, sums
+        return np.ascontiguousarray(after[-1].T), -float(logs.mean())
 
     def score(self, texts: list[np.ndarray], start: int) -> np.ndarray:
         """Natural log of each whole text's probability; states are carried from window to window.

@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import repeat
 from math import ceil
 from zlib import crc32
 
@@ -121,10 +122,9 @@ class Vocabulary:
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each word the place in the head, -1 if it isn't there, and the id in the network."""
-        get = self.ids.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
         ids = self.net[at] if len(self.net) else np.zeros(len(at), np.int64)
-        for i in np.flatnonzero(at < 0):
+        for i in np.flatnonzero(at < 0).tolist():
             ids[i] = self.hashed_id(words[i])
         return at, ids
 
@@ -213,7 +213,7 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, weights: n
         for some in np.array_split(order, max(1, -(-len(order) // 1024))):
             words = [split_words(texts[i]) for i in some]
             at, own = zip(*(vocabulary.look_up([*ws, END]) for ws in words), strict=True) if words else ((), ())
-            tail = [Counter(w for w, i in zip(ws, a, strict=False) if i < 0) for ws, a in zip(words, at, strict=True)]
+            tail = [Counter([ws[i] for i in np.flatnonzero(a[:-1] < 0).tolist()]) for ws, a in zip(words, at, strict=True)]
             scored = net.score(list(own), start) / np.log(10)
             apart = [aside[a].sum() - rest[o[a < 0] - known].sum() for a, o in zip(at, own, strict=True)]
             tails = [(int(rows[int(i)].as_py()), w, c) for i, t in zip(some, tail, strict=True) for w, c in t.items()]

@@ -311,3 +311,20 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
             docs = spark.read.parquet(f"file://{tmp_path}/{name}/stage{k}")
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, f"file://{tmp_path}/{name}").collect()
         assert {p["doc_id"] for p in packed} <= {x[0] for x in rows} and (name == "some") == (len(packed) > 0)
+
+
+def test_softmax_of_many_words_takes_some_at_a_time():
+    """The classes' probabilities of all words at once would be 33 MB; the logs are those of each word alone."""
+    import tracemalloc
+
+    net = Gru(np.arange(20_000, 0, -1.0), 256)
+    r = np.random.default_rng(0)
+    net.p = {k: (v + 0.1 * r.standard_normal(v.shape)).astype(np.float32) for k, v in net.p.items()}
+    h, y = r.standard_normal((1 << 15, 32)).astype(np.float32), r.integers(0, 20_000, 1 << 15)
+    tracemalloc.start()
+    logs = net.word_logs(h, y)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    for i in (0, 2047, 2048, 32767):
+        assert logs[i] == pytest.approx(net.word_logs(h[i : i + 1], y[i : i + 1])[0][0], rel=1e-4)
