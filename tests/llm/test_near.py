@@ -365,3 +365,65 @@ def test_within_is_the_edit_distance():
         for most in (0, 1, 3, d - 1, d, d + 1):
             if most >= 0:
                 assert fl.within(x, y, most) == (d <= most), (x, y, most)
+
+
+def test_keys_of_lines_are_deleted_before_lines_are_compared(spark, stored, monkeypatch):
+    """Keys are most of the stored tables; none is left once the cells are known."""
+    kept, left, real, compare = [], [], fl.cut, fl.similar_lines
+
+    def cut(df):
+        kept.append(real(df))
+        return kept[-1]
+
+    def exists(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    def similar(*args):
+        left.extend(df for df in kept if "buckets" in df.columns and exists(df))
+        return compare(*args)
+
+    monkeypatch.setattr(fl, "cut", cut)
+    monkeypatch.setattr(fl, "similar_lines", similar)
+    r = random.Random(8)
+    base = [made_up(r, 12) for _ in range(20)]
+    got = fl.dedup_lines(stored([(i, "\n".join(base), "s", 0, 0) for i in range(3)], SCHEMA)).collect()
+    assert sum(x["n_dropped"] for x in got) == 40 and any("buckets" in df.columns for df in kept)
+    assert not left
+
+
+def test_counts_of_runs_reject_no_pair_within():
+    r = random.Random(9)
+    pairs = [("", ""), ("a", ""), ("ab", "abc"), ("abc", "abd"), ("x" * 500, "x" * 450), ("né" * 40, "ne" * 40)]
+    for _ in range(3000):
+        x = "".join(r.choice("abcé \U0001f600") for _ in range(r.randrange(0, 40)))
+        y = list(x)
+        for _ in range(r.randrange(0, 5)):
+            i = r.randrange(len(y) + 1)
+            y[i : i + r.choice([0, 1])] = r.choice([[], [r.choice("abcé")], [r.choice("abcé"), "b"]])
+        pairs.append((x, "".join(y)))
+    most = np.array([r.randrange(0, 6) for _ in pairs])
+    kept = fl.may_be_within(pairs, most)
+    near = np.array([fl.within(x, y, int(m)) for (x, y), m in zip(pairs, most, strict=True)])
+    assert not (near & ~kept).any() and near.sum() > 500 and (~kept).sum() > 300
+    assert len(fl.may_be_within([], most[:0])) == 0
+
+
+def test_pairs_of_lines_go_part_by_part(stored, monkeypatch):
+    """No join of pairs with texts is larger than it may be; the result is that of all pairs at once."""
+    r = random.Random(10)
+    base = [made_up(r, 12) for _ in range(30)]
+    docs = stored([(i, "\n".join(edited(r, x, 0.02 * i, "edit") for x in base), "s", 0, 0) for i in range(3)], SCHEMA)
+    steps, real = [], fl.cut
+
+    def cut(df):
+        steps.append(df.columns == ["a", "b"] and "MapInArrow" in df._jdf.queryExecution().toString())
+        return real(df)
+
+    monkeypatch.setattr(fl, "cut", cut)
+    whole = sorted(tuple(x) for x in fl.dedup_lines(docs).collect())
+    at_once = sum(steps)
+    steps.clear()
+    monkeypatch.setattr(fl, "PAIRS", 8, raising=False)
+    assert sorted(tuple(x) for x in fl.dedup_lines(docs).collect()) == whole and sum(x[2] for x in whole) > 50
+    assert sum(steps) > at_once
