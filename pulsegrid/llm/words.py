@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +44,20 @@ def split_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def split_column(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """split_words of a string column, null as empty: all words end to end, as binary, and how many each text has."""
+    # ascii_lower loses letters of a slice that was cast; what is taken is no slice.
+    whole = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()).fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    words, n = lists.flatten().cast(pa.large_binary()), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    # Arrow gives an empty word where a text begins or ends with what separates words.
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if empty.any():
+        n -= np.bincount(np.repeat(np.arange(len(n)), n)[empty], minlength=len(n))
+        words = words.filter(pa.array(~empty))
+    return words, n
+
+
 def hash_words(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words end to end, and how many each text has."""
     n = np.fromiter(map(len, words), np.int64, len(words))

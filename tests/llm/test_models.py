@@ -116,6 +116,86 @@ def test_every_word_of_the_texts_is_learnt(texts):
     assert np.isfinite(weights).all() and not np.allclose(weights, lm._network(vocabulary, None).flat(), atol=1e-3)
 
 
+def test_texts_are_looked_up_once():
+    """Training and scores go by the stored ids, without the words; sums and rare words are those of a plain count."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = [None, "", " \t", "Solo ", *[" ".join(r.choice(["the", "Cat", "\u00e9t\u00e9", "sat", f"rare{r.randrange(400)}"]) for _ in range(r.randrange(1, 90))) for _ in range(lm.TEXTS + 300)]]
+    words = [[*(x or "").encode().lower().split(), lm.END] for x in texts]
+    counts = Counter(w for ws in words for w in ws)
+    head = counts.most_common(150)
+    shared = np.zeros(lm.hashed_ids(len(counts)))
+    for w, c in counts.items():
+        shared[lm.crc32(w) % len(shared)] += c + 1
+    vocabulary = lm.Vocabulary([w for w, _ in head], np.array([c for _, c in head], float), sum(counts.values()), len(counts), shared)
+    sent = type("Sent", (), {"value": vocabulary})
+    rows = pa.RecordBatch.from_pydict({"row": pa.array(range(len(texts))), "id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    stored = pa.Table.from_batches(list(lm._encode(iter([rows.slice(0, 7), rows.slice(7)]), sent))).combine_chunks()
+    bare = vocabulary.bare()
+    assert not bare.words and not bare.ids
+    ids = bare.encoded(stored.column("ids").chunk(0))
+    for i, (ws, row) in enumerate(zip(words, stored.to_pylist(), strict=True)):
+        at, own = vocabulary.look_up(ws)
+        assert row["row"] == i and row["n"] == len(ws) and row["n_known"] == (at >= 0).sum() and ids[i].tolist() == own.tolist()
+        assert dict(zip(row["words"], row["times"], strict=True)) == Counter(w for w, k in zip(ws, at, strict=True) if k < 0)
+        assert row["base"] == pytest.approx(vocabulary.base[at[at >= 0]].sum())
+        assert row["apart"] == pytest.approx(vocabulary.aside[at[at >= 0]].sum() - np.log10(vocabulary.rest[own[at < 0] - vocabulary.known]).sum())
+    learnt = [next(iter(lm._learn(iter([pa.RecordBatch.from_arrays([x], ["x"])]), v, None))) for x, v in ((rows.column(2), vocabulary), (stored.column("ids").chunk(0), bare))]
+    assert learnt[0].equals(learnt[1])
+    scored = list(lm._score(iter(stored.select(["row", "id", "n", "n_known", "base", "apart", "ids"]).to_batches()), bare, None))
+    assert len(scored) == 1 and scored[0].column("row").to_pylist() == list(range(len(texts)))
+    net = lm._network(vocabulary, None)
+    for i in (0, 2, 9, len(texts) - 1):
+        assert scored[0].column("score")[i].as_py() == pytest.approx(net.score([ids[i]], vocabulary.start())[0] / math.log(10) + stored.column("apart")[i].as_py(), rel=1e-4)
+
+
+def test_long_texts_leave_few_words_alone(monkeypatch):
+    """A long text that comes last doesn't go on without the others; words weigh alike in windows of all sizes."""
+    import pyarrow as pa
+
+    texts = ["the cat sat on " * 10] * 300 + ["on the mat " * 60]
+    counts = Counter(w for x in texts for w in [*x.encode().split(), lm.END])
+    vocabulary = lm.Vocabulary([w for w, _ in counts.most_common()], np.array([c for _, c in counts.most_common()], float), sum(counts.values()), len(counts))
+    shapes = []
+
+    class Seen(Gru):
+        def learn(self, x, *rest):
+            shapes.append(x.shape)
+            return super().learn(x, *rest)
+
+    monkeypatch.setattr(lm, "Gru", Seen)
+    list(lm._learn(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts)})]), vocabulary, None))
+    assert sum(a * b for a, b in shapes) == sum(counts.values())
+    assert sum(a * b for a, b in shapes if b < lm.STREAMS / 2) < 0.005 * sum(counts.values())
+    r, moved = np.random.default_rng(1), []
+    x, y = r.integers(0, 10, (5, 3)), r.integers(0, 10, (5, 3))
+    for of in (None, 15, 60):
+        net = Gru(np.arange(10, 0, -1.0), 3)
+        net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+        before = net.flat()
+        net.learn(x, y, x < 0, np.zeros((3, 32)), {k: np.full_like(v, 1e6) for k, v in net.p.items()}, of)
+        moved.append(net.flat() - before)
+    assert np.allclose(moved[0], moved[1], atol=0) and np.allclose(moved[0], 4 * moved[2], rtol=1e-4, atol=1e-12)
+
+
+def test_large_logits_and_frequent_words_of_a_window():
+    from pulsegrid.llm.gru import _sums
+
+    r = np.random.default_rng(2)
+    net = Gru(np.arange(40, 0, -1.0), 5)
+    net.p = {k: v * np.float32(300) for k, v in net.p.items()}
+    h = np.float32([[0.9] * 32, [-0.9] * 32])
+    net.p["W"][:, 7], net.p["C"][3] = r.standard_normal(40) * 400, r.standard_normal(len(net.p["c"])) * 400
+    logs = np.array([net.word_logs(h, np.full(2, i))[0] for i in range(40)])
+    assert np.isfinite(logs).all() and np.exp(logs).sum(0) == pytest.approx([1, 1], abs=1e-4)
+    d, words = r.standard_normal((300, 6)), r.choice(40, 300, p=np.arange(1, 41) ** 3 / (np.arange(1, 41) ** 3).sum())
+    want = np.zeros((40, 6))
+    np.add.at(want, words, d)
+    rows, sums = _sums(d, words)
+    assert sorted(rows.tolist()) == np.unique(words).tolist() and np.allclose(sums, want[rows])
+
+
 def test_network_tells_rare_words_apart(monkeypatch):
     """Words without ids of their own differ as context and as target; the probabilities of all words add up."""
     monkeypatch.setattr(lm, "WORDS", 4)
