@@ -201,6 +201,26 @@ def test_nearest_with_odd_vectors(stored, monkeypatch):
     assert ct.nearest(stored([], "vec_id long, embedding array<double>, score int", "none")).count() == 0
 
 
+def test_nearest_takes_empty_vectors(stored):
+    rows = [(700, [], 0), (3, [], 0), (100, [], 0), (5, [1.0], 0), (200, [None], 0)]
+    got = ct.nearest(stored(rows, "vec_id long, embedding array<float>, score int")).collect()
+    assert sorted(tuple(r) for r in got) == [(100, 1, 3, 0), (100, 2, 700, 0), (700, 1, 3, 0), (700, 2, 100, 0)]
+
+
+def test_search_ties_scores_below_a_long():
+    r = np.random.default_rng(0)
+    x = np.floor(-1e12 * (1 + r.random((300, 2)) * 1e3))
+    x[0] *= -1
+    score, at = ct.search(x[:1], np.array([0]), x, np.arange(300), np.arange(300)[::-1].copy(), 10)
+    assert at[0].tolist() == list(range(299, 289, -1)) and set(score[0]) == {-(2**63) + 1}
+
+
+def test_search_bounds_allow_for_terms_that_cancel():
+    q = ct.CoverTree(np.array([[1e9, 1.0], [1e9, 1.0]]))
+    d = ct.CoverTree(np.array([[3.0, -3e9], [3.0, -3e9]]))
+    assert ct._bounds(q, [0], d, 0)[0] >= 1e-9 * 1e9 * 3e9
+
+
 def test_pack(stored, monkeypatch):
     monkeypatch.setattr(p, "PIECES_PER_SHARD", 100)
     r = random.Random(0)
