@@ -65,3 +65,41 @@ def test_few_links_join_what_a_matrix_joins():
         assert len(i) <= 3 * 70 and close[i, j].all()
         groups = lambda p, q: dict(zip(*map(np.ndarray.tolist, k.components(p, q + 30)), strict=True))
         assert groups(i, j) == groups(*np.nonzero(close))
+
+
+def test_linkage_is_that_of_all_pairs():
+    r = np.random.default_rng(4)
+    for method in ("single", "complete", "average", "weighted", "centroid", "median", "ward"):
+        x = np.floor(r.random((40, 2)) * 6)  # many ties
+        d = k.distances(x, x)
+        left, want = np.array(d) ** (2 if method in ("centroid", "median", "ward") else 1), []
+        np.fill_diagonal(left, np.inf)
+        z = k.linkage(d, method)
+        place = {i: i for i in range(40)}
+        for step, (a, b, _, _) in enumerate(z):
+            i, j = divmod(int(left.argmin()), 40)
+            want.append({place[a], place[b]} == {i, j})
+            place[40 + step] = i
+            if method in ("single", "complete"):
+                new = (np.minimum if method == "single" else np.maximum)(left[i], left[j])
+                left[i, :] = left[:, i] = new
+                left[i, i] = np.inf
+                left[j, :] = left[:, j] = np.inf
+            else:
+                break
+        assert all(want)
+
+
+def test_ensemble_partition_is_that_of_the_pairs(spark):
+    r = np.random.default_rng(5)
+    rows = [(run, i, int(r.integers(0, 3))) for run in range(4) for i in range(60) if (run, i) != (2, 7)]
+    ensemble = spark.createDataFrame(rows, "run_id int, row_id long, cluster int")
+    for number, linkage in ((3, "average"), (5, "complete"), (59, "average"), (0, "average"), (3, "ward")):
+        one, two = c.ensemble_partition(ensemble, number, linkage), c.coassoc_partition(c.create_coassoc(ensemble), number, linkage)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_hierarchical_takes_more_rows(spark):
+    x = np.concatenate([np.random.default_rng(6).random((2_600, 2)), np.random.default_rng(7).random((2_600, 2)) + 9])
+    got = {r["row_id"]: r["cluster"] for r in c.hierarchical(table(spark, x), 2).collect()}
+    assert got == {i: int(i >= 2_600) for i in range(5_200)}
