@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from .metrics import distance
+from .metrics import block_columns, blocks_met, distance, packed
 from .utils import random_fraction
 
 
@@ -148,40 +148,72 @@ def _dealt(rows: DataFrame, size: int, name: str, *by: str) -> tuple[DataFrame,
     return rows.withColumn(name, F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")), n
 
 
-def _nearest_of_each(probes: pa.Table, templates: pa.Table, metric: str, digits: int, kk: int | None, options: dict) -> pa.Table:
-    """Of each claimed subject's templates in a block the kk nearest to each probe of another, all without kk."""
-    columns: dict[str, list] = {c.split()[0]: [] for c in RANKED.split(", ")}
-    if probes.num_rows and templates.num_rows:
-        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        d = k.distances(matrix(probes), matrix(templates), metric, **options)
-        claimed, ids = np.array(templates.column("subject").to_pylist(), object), np.asarray(templates.column("sample_id"))
-        for who in sorted(set(claimed)):
-            own = np.flatnonzero(claimed == who)
-            order = np.lexsort((np.broadcast_to(ids[own], (len(d), len(own))), np.round(d[:, own], digits)), axis=1)[:, :kk]
-            at = own[order]
-            row = np.repeat(np.arange(len(d)), at.shape[1])
-            columns["subject"].append(probes.column("subject").take(pa.array(row)).combine_chunks())
-            columns["sample_id"].append(probes.column("sample_id").take(pa.array(row)).combine_chunks())
-            columns["claimed"].append(pa.array([who] * len(row), pa.string()))
-            columns["template_id"].append(pa.array(ids[at.ravel()], pa.int64()))
-            columns["d"].append(pa.array(d[row, at.ravel()], pa.float64()))
-    kinds = {"subject": pa.string(), "claimed": pa.string(), "d": pa.float64()}
-    return pa.table({c: pa.concat_arrays(x) if x else pa.array([], kinds.get(c, pa.int64())) for c, x in columns.items()})
+def _nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, kk: int, metric: str, digits: int, options: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance): for each row of x the kk nearest of y, ties at `digits` places going to the smaller id, and maybe more.
+
+    Euclidean distances are taken only of rows that a product of matrices leaves in doubt.
+    """
+    if len(y) <= kk or metric != "euclidean" or options or not (np.isfinite(x).all() and np.isfinite(y).all()):
+        d = k.distances(x, y, metric, **options)
+        order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, digits)), axis=1)[:, :kk]
+        row = np.repeat(np.arange(len(d)), order.shape[1])
+        return row, order.ravel(), d[row, order.ravel()]
+    one, two = (x * x).sum(1), (y * y).sum(1)
+    square = one[:, None] + two[None, :] - 2 * (x @ y.T)
+    slack = 1e-9 * (one.max() + two.max())
+    edge = np.sqrt(np.maximum(np.partition(square, kk - 1, axis=1)[:, kk - 1], 0) + slack) + 2 * 10.0**-digits
+    row, at = np.nonzero(square <= (edge * edge + slack)[:, None])
+    return row, at, np.sqrt(((x[row] - y[at]) ** 2).sum(1))
+
+
+def _all_pairs(batches, metric: str, options: dict):
+    for batch in batches:
+        for r in range(batch.num_rows):
+            (s, x, who), (ids, y, claimed) = block_columns(batch, r, "", "subject"), block_columns(batch, r, "_2", "subject")
+            d, n = k.distances(x, y, metric, **options), len(y)
+            columns = [np.repeat(who, n), np.repeat(s, n), np.tile(claimed, len(x)), np.tile(ids, len(x)), d.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
+
+
+_KINDS, _NAMES = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64()), [c.split()[0] for c in RANKED.split(", ")]
+
+
+def _nearest_of_each(batches, metric: str, digits: int, kk: int, options: dict):
+    """Of each claimed subject's templates in a task's blocks the kk nearest to each of its probes."""
+    probes: dict[int, list] = {}
+    for batch in batches:
+        for r in range(batch.num_rows):
+            (s, x, who), (ids, y, claimed) = block_columns(batch, r, "", "subject"), block_columns(batch, r, "_2", "subject")
+            found = probes.setdefault(batch.column("own")[r].as_py(), [who, s, []])[2]
+            for name in sorted(set(claimed)):
+                own = np.flatnonzero(claimed == name)
+                row, at, d = _nearest(x, y[own], ids[own], kk, metric, digits, options)
+                found.append((row, np.full(len(row), name, object), ids[own][at], d))
+    for who, s, found in probes.values():
+        row, name, ids, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        _, code = np.unique(name.astype(str), return_inverse=True)
+        by = np.lexsort((ids, np.round(d, digits), code, row))
+        group = row[by] * (code.max() + 1) + code[by]
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        place = np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)]))
+        by = by[place < kk]
+        columns = [who[row[by]], s[row[by]], name[by], ids[by], d[by]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
 
 
 def ranked(probes: DataFrame, templates: DataFrame, metric: str = "euclidean", digits: int = 9, kk: int | None = None, **options) -> DataFrame:
     """(subject, sample_id, claimed, template_id, d): probes against all templates, computed once for all thresholds.
 
-    With kk only each subject's kk nearest templates in a block are kept, which hold its kk nearest of all, ties at `digits`
-    places going to the smaller template.
+    With kk only each subject's kk nearest templates among a task's blocks are kept, which hold its kk nearest of all, ties at
+    `digits` places going to the smaller template. Blocks meet where they are stored; only what is kept leaves a task.
     """
     slim = lambda t: t.select(F.col("subject").cast("string").alias("subject"), F.col("sample_id").cast("long").alias("sample_id"), F.col("v").cast("array<double>").alias("v"))
-    (p, n), (t, m) = _dealt(slim(probes), BLOCK, "x", "subject", "sample_id"), _dealt(slim(templates), BLOCK, "y", "subject", "sample_id")
-    p = p.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("subject", "sample_id", "v", "x", "y")
-    t = t.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("subject", "sample_id", "v", "x", "y")
-    t = t.toDF(*t.columns)  # columns of their own, as both may come from one table
-    met = p.groupBy("x", "y").cogroup(t.groupBy("x", "y")).applyInArrow(lambda a, b: _nearest_of_each(a, b, metric, digits, kk, options), RANKED)
-    return met.withColumn("d", F.round("d", digits))
+    sides = []
+    for side in (probes, templates):
+        dealt, n = _dealt(slim(side), BLOCK, "own", "subject", "sample_id")
+        sides.append(packed(dealt.withColumnRenamed("sample_id", "row_id"), "own", n, "subject"))
+    run = (lambda b: _all_pairs(b, metric, options)) if kk is None else (lambda b: _nearest_of_each(b, metric, digits, kk, options))
+    return blocks_met(*sides).mapInArrow(run, RANKED).withColumn("d", F.round("d", digits))
 
 
 def knn_authenticate(pairs: DataFrame, thresholds: DataFrame, kk: int = 3) -> DataFrame:

@@ -44,7 +44,7 @@ def _knn(spark: SparkSession, sf_dir: str, levels: tuple[float, ...] = THRESHOLD
 
 def _decisions(spark: SparkSession, sf_dir: str, levels: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     probes, templates, thresholds = _knn(spark, sf_dir, levels)
-    pairs = bio.ranked(probes, templates, digits=6, kk=3)
+    pairs = u.stored(bio.ranked(probes, templates, digits=6, kk=3))
     return bio.knn_authenticate(pairs, thresholds).join(bio.knn_identify(pairs, thresholds), ["subject", "sample_id", "threshold"])
 
 

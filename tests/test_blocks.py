@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from pulsegrid.functions import kernels as k
+from pulsegrid.operators import beats
+from pulsegrid.operators import biometrics as bio
 from pulsegrid.operators import clusters as c
 from pulsegrid.operators import metrics as m
 
@@ -103,3 +105,30 @@ def test_hierarchical_takes_more_rows(spark):
     x = np.concatenate([np.random.default_rng(6).random((2_600, 2)), np.random.default_rng(7).random((2_600, 2)) + 9])
     got = {r["row_id"]: r["cluster"] for r in c.hierarchical(table(spark, x), 2).collect()}
     assert got == {i: int(i >= 2_600) for i in range(5_200)}
+
+
+def test_nearest_templates_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bio, "BLOCK", 7)
+    monkeypatch.setattr(m, "HELD", 2)
+    x = np.floor(np.random.default_rng(8).random((90, 2)) * 4)  # many ties
+    every = spark.createDataFrame([(f"s{i % 3}", i, [float(z) for z in v]) for i, v in enumerate(x)], "subject string, sample_id long, v array<double>")
+    probes, templates = every.where("sample_id % 4 = 0"), every.where("sample_id % 4 <> 0")
+    near = bio.ranked(probes, templates, digits=6, kk=3)
+    assert "CoGroup" not in near._jdf.queryExecution().optimizedPlan().toString()
+    best = {}
+    for r in near.collect():
+        best.setdefault((r["sample_id"], r["claimed"]), []).append((r["d"], r["template_id"]))
+    d = k.distances(x, x)
+    for i in range(0, 90, 4):
+        for s in range(3):
+            want = sorted((round(float(d[i, j]), 6), j) for j in range(90) if j % 4 and j % 3 == s)[:3]
+            assert sorted(best[i, f"s{s}"])[:3] == want
+    assert bio.ranked(probes, templates).count() == probes.count() * templates.count()
+
+
+def test_autocorrelation_shuffles_samples_once(spark):
+    x = np.random.default_rng(9).random(25)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "signal_id long, i long, x double")
+    got = beats.autocorrelation(df, 6)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["lag"]: pytest.approx(r["c"]) for r in got.collect()} == {j: float(x[: 25 - j] @ x[j:]) for j in range(7)}
