@@ -86,3 +86,11 @@ def test_prominences_take_linear_time():
     x = np.sin(np.arange(2_000_000) * 0.5) + np.linspace(0, 1e-3, 2_000_000)
     at = k.peaks(x)
     assert len(at) > 100_000 and (k.prominences(x, at) > 0.5).mean() > 0.9
+
+
+def test_abbink_searches_once_for_each_kind(monkeypatch):
+    searched, flat = [], np.flatnonzero
+    monkeypatch.setattr(d.np, "flatnonzero", lambda x: searched.append(len(x)) or flat(x))
+    x = np.tile(np.r_[np.zeros(150), np.tile([9.0, -9.0], 75)], 20) + np.random.default_rng(0).normal(0, 0.5, 6000)
+    found = d.abbink(x, rest=[0, 100], size=10, alarm_size=10, threshold=1.0, transition=1.0)
+    assert {kind for _, kind in found} == {"onset", "offset"} and len(searched) == 2
